@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secret_scan, simhash, sql
+from . import decontaminate, quality, secret_scan, simhash, sql
 from .common import load
 
 
@@ -18,6 +18,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(load(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(load(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_quality_rules": op5_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }
 

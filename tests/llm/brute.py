@@ -26,3 +26,21 @@ def secret_row(text):
     kinds = ("assign", "access", "hex")
     n = [sum(x[1] == k for x in s) for k in range(3)]
     return (*n, sha(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in s)))
+
+
+def quality(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    count = {}
+    for w in windows:
+        count[w] = count.get(w, 0) + 1
+    hit = set()
+    for i, w in enumerate(windows):
+        if count[w] > 1:
+            hit.update(range(i, i + 8))
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    n = len(words)
+    return n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(hit), n < 20 or 100 * len(hit) > 30 * n
