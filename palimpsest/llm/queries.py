@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secret_scan, simhash, sql
+from . import chat, decontaminate, packing, quality, secret_scan, simhash, sql
 from .common import load
 
 
@@ -14,6 +15,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -22,17 +27,31 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(load(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    turn = [F.lit(i).cast("long").alias("turn") for i in range(2)]
+    extra = [
+        spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), turn[i], F.lit(who).alias("role"), said.alias("text"))
+        for i, who in enumerate(("user", "assistant"))
+    ]
+    return chat.report(rows.unionByName(extra[0]).unionByName(extra[1]))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_packing": op2_packing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op7_chat_formatting": op7_chat_formatting,
     "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": sql.OP3,
+    "op7_chat_formatting": sql.OP7,
 }
