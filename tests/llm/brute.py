@@ -44,3 +44,27 @@ def quality(text):
     symbols = len(re.findall(r"[#*$%&|<>]", text))
     n = len(words)
     return n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(hit), n < 20 or 100 * len(hit) > 30 * n
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def pii(text):
+    """n_email, n_ip, n_card, n_phone, base_sha256."""
+    text = text or ""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [
+        ("ip", m)
+        for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+        if all(int(x) <= 255 for x in m[0].split("."))
+    ]
+    out += [
+        ("card", m)
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text)
+        if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))
+    ]
+    out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m[0])) <= 15]
+    n = [sum(k == x for k, _ in out) for x in ("email", "ip", "card", "phone")]
+    return (*n, sha(",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)))
