@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, quality, secret_scan, simhash, sql
+from . import chat, decontaminate, packing, pii, quality, secret_scan, simhash, sql, token_store
 from .common import load
 
 
@@ -27,6 +27,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(load(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.report(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_store": op6_token_store,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_pii": op8_pii,
     "op10_secret_scans": op10_secret_scans,
