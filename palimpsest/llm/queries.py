@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, quality, secret_scan, simhash, sql, token_store
+from . import chat, decontaminate, packing, phrase_dedup, pii, quality, secret_scan, simhash, sql, suffix_dedup, token_store
 from .common import load
 
 
@@ -23,6 +23,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(load(spark, sf_dir, "documents"))
 
@@ -48,6 +52,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(load(spark, sf_dir, "documents"))
 
 
+def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(load(spark, sf_dir, "documents"))
 
@@ -56,10 +64,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_packing": op2_packing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_store": op6_token_store,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_pii": op8_pii,
+    "op9_phrase_dedup": op9_phrase_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 

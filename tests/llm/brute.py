@@ -68,3 +68,37 @@ def pii(text):
     out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m[0])) <= 15]
     n = [sum(k == x for k, _ in out) for x in ("email", "ip", "card", "phone")]
     return (*n, sha(",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)))
+
+
+def byte_repeats(texts, size=100):
+    """texts: (doc_id, text); by doc_id: n_bytes, n_removed, n_spans, kept_sha256."""
+    seen, out = set(), {}
+    for doc, text in sorted(texts, key=lambda x: x[0]):
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - size + 1):
+            w = b[i : i + size]
+            if w in seen:
+                gone[i : i + size] = b"\1" * size
+            else:
+                seen.add(w)
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out[doc] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def word_repeats(texts, size=20):
+    """texts: (doc_id, text); by doc_id: n_words, n_removed, kept_sha256."""
+    seen, out = set(), {}
+    for doc, text in sorted(texts, key=lambda x: x[0]):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        gone = [False] * len(words)
+        for i in range(len(words) - size + 1):
+            w = tuple(words[i : i + size])
+            if w in seen:
+                gone[i : i + size] = [True] * size
+            else:
+                seen.add(w)
+        out[doc] = (len(words), sum(gone), sha(" ".join(w for w, g in zip(words, gone) if not g)))
+    return out
