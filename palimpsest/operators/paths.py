@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palimpsest.functions.constants import MAX_PATH
 
@@ -33,7 +34,7 @@ def collision_key(path: str) -> str:
 def collisions(paths: DataFrame) -> DataFrame:
     """``collision_key, n, first_path`` of the ``paths(path)`` that collide."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def key(path: pd.Series) -> pd.Series:
         return path.map(collision_key, na_action="ignore")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from palimpsest.functions.blake3 import blake3
 from palimpsest.functions.constants import (
@@ -20,7 +21,7 @@ from palimpsest.functions.constants import (
 _DELTAS = ("DELTA_RAW", "DELTA_ZSTD")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def blake3_256(data: pd.Series) -> pd.Series:
     """BLAKE3 of a binary column."""
     return data.map(blake3, na_action="ignore")
