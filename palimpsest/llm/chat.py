@@ -53,26 +53,34 @@ def tree_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     )
     inner = one.select("tree_id", F.col("parent").alias("node_id")).where("node_id is not null").distinct()
     total = jump.count()
-    jumps = []
-    while not jump.where("up is not null").isEmpty() and 2 ** len(jumps) <= 2 * total:
-        jumps.append(jump)
-        above = jump.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("s2"), F.col("n").alias("n2"))
+    jumps, done = [], []
+    while True:  # messages whose path has reached its root take no part in further joins
+        done.append(jump.where("up is null"))
+        alive = jump.where("up is not null")
+        if alive.isEmpty() or 2 ** len(jumps) > 2 * total:
+            break
+        jumps.append(alive)
+        above = alive
+        for x in done:
+            above = above.unionByName(x)
+        above = above.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("s2"), F.col("n").alias("n2"))
         jump = stash(
-            jump.join(above, ["tree_id", "up"], "left").select(
-                *key, F.col("up2").alias("up"),
-                (F.col("sum") + F.coalesce("s2", F.lit(0.0))).alias("sum"),
-                (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"),
+            alive.join(above, ["tree_id", "up"]).select(
+                *key, F.col("up2").alias("up"), (F.col("sum") + F.col("s2")).alias("sum"), (F.col("n") + F.col("n2")).alias("n")
             ),
             "jump",
         )
-    leaves = jump.where("up is null").join(inner, key, "left_anti")
+    reached = done[0]
+    for x in done[1:]:
+        reached = reached.unionByName(x)
+    leaves = reached.join(inner, key, "left_anti")
     order = Window.partitionBy("tree_id").orderBy(F.desc(F.col("sum") / F.col("n")), F.desc("n"), "node_id")
     best = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
     path = stash(
         best.select("tree_id", F.col("node_id").alias("leaf_id"), "rank", "node_id", F.col("n").alias("depth")), "path"
     )
     for k in range(len(jumps) - 1, -1, -1):
-        up = jumps[k].where("up is not null").select(*key, "up")
+        up = jumps[k].select(*key, "up")
         more = path.join(up, key).select("tree_id", "leaf_id", "rank", F.col("up").alias("node_id"), (F.col("depth") - 2**k).alias("depth"))
         path = stash(path.unionByName(more), "path")
     return path
