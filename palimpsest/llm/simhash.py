@@ -38,6 +38,8 @@ SHINGLE_WORDS = 4
 SEED = 42
 #: (shift, bits) of the three segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
+#: Fingerprints whose keys one task makes.
+_KEY_ROWS = 16384
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 
@@ -259,7 +261,8 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, bucket_cap: int = 2048)
     same fingerprints as all links within ``distance`` do."""
     if not 0 <= distance <= MAX_DISTANCE:
         raise ValueError(f"distance must be 0 to {MAX_DISTANCE}")
-    keys = fps.select("fp").mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    fps = fps.select("fp").repartition(1 + fps.count() // _KEY_ROWS)  # each row becomes some 185
+    keys = fps.mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
     found = stash(keys.mapInArrow(_linker(distance, bucket_cap, False), "a long, b long").distinct(), "fuzzy")
     hot = found.where("b is null").select(F.col("a").alias("fp"))
     found = found.where("b is not null")
@@ -282,11 +285,13 @@ def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, bucket_cap: i
     An empty table gives an empty result.
     """
     fps = stash(fingerprints(docs), "fingerprints")
-    each = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    each = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(each, distance, bucket_cap)).withColumnRenamed("node", "fp")
     of_root = found.join(each, "fp").groupBy("root").agg(F.min("least").alias("component"))
     merged = stash(found.join(of_root, "root").select("fp", "component"), "merged")
-    of = each.join(merged, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    of = stash(
+        each.join(merged, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "of"
+    )
     return fps.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
