@@ -29,14 +29,20 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import stash
 
 HOT = 2000
 MAX_HOT = 5_000_000
+#: Bits of the filter that keeps texts without coverage from being moved: its size is fixed, and
+#: a full one lets all of them pass.
+FILTER_BITS = 1 << 25
 #: Elements handled at once, and bytes of text between two emissions of a task.
 PIECE = 1 << 20
 FLUSH = 8 << 20
@@ -402,7 +408,7 @@ def encode_run(kind: Kind, rows: list[tuple[bytes, int, int, int, int]]) -> tupl
         parts += [suffix[shared:], left]
         last = suffix
     return (
-        b"".join(parts),
+        zstandard.ZstdCompressor(level=1).compress(b"".join(parts)),
         lengths.tobytes(),
         np.array([x[1] for x in rows], np.int64).tobytes(),
         np.array([x[2] for x in rows], np.int32).tobytes(),
@@ -414,7 +420,7 @@ def encode_run(kind: Kind, rows: list[tuple[bytes, int, int, int, int]]) -> tupl
 def decode_run(row: dict) -> tuple[list, ...]:
     """Shared prefix lengths, suffixes, left contexts, doc_ids, starts, anchors and hashes."""
     lengths = np.frombuffer(row["lengths"], np.int32).reshape(-1, 3).tolist()
-    data, at, last = row["data"], 0, b""
+    data, at, last = zstandard.ZstdDecompressor().decompress(row["data"]), 0, b""
     shared_of, suffixes, lefts = [], [], []
     for shared, rest, left in lengths:
         last = last[:shared] + data[at : at + rest]
@@ -431,12 +437,33 @@ def decode_run(row: dict) -> tuple[list, ...]:
 _RANGES = "doc_id long, ranges binary"
 
 
-def _solver(kind: Kind):
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with all its covered ranges."""
+    columns: list[list] = [[], [], []]
+    for batch in batches:
+        for column, data, t in zip(columns, batch.columns, (np.int64, np.int32, np.int32), strict=True):
+            column += [np.frombuffer(x, t) for x in data.to_pylist()]
+    if not columns[0]:
+        return
+    doc, first, last = (np.concatenate(c) for c in columns)
+    order = np.lexsort((first, doc))
+    doc, pairs = doc[order], np.stack([first[order], last[order]], axis=1)
+    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    end = np.append(begin[1:], len(doc))
+    for k in range(0, len(begin), 4096):
+        blobs = [pairs[a:b].tobytes() for a, b in zip(begin[k : k + 4096], end[k : k + 4096], strict=True)]
+        yield pa.record_batch([pa.array(doc[begin[k : k + 4096]]), pa.array(blobs, pa.binary())], ["doc_id", "ranges"])
+
+
+def _solver(kind: Kind, buckets: int):
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, list[int]] = {}
+        out: tuple[list, list, list] = ([], [], [])
+        parts: list[tuple] = []
 
         def cover(doc: int, first: int, last: int) -> None:
-            out.setdefault(doc, []).extend((first, last))
+            out[0].append(doc)
+            out[1].append(first)
+            out[2].append(last)
 
         runs, digests, docs, starts = [], [], [], []
         for batch in batches:
@@ -448,29 +475,20 @@ def _solver(kind: Kind):
                     docs.append(np.frombuffer(row["doc"], np.int64))
                     starts.append(np.frombuffer(row["start"], np.int32))
                 else:
-                    for d, a, b in zip(
-                        np.frombuffer(row["doc"], np.int64).tolist(),
-                        np.frombuffer(row["start"], np.int32).tolist(),
-                        np.frombuffer(row["anchor"], np.int32).tolist(),
-                        strict=True,
-                    ):
-                        cover(d, a, b)
+                    parts.append(tuple(np.frombuffer(row[c], t) for c, t in (("doc", np.int64), ("start", np.int32), ("anchor", np.int32))))
         if digests:
             digest, doc, start = np.concatenate(digests), np.concatenate(docs), np.concatenate(starts)
             order = np.lexsort((start, doc, digest[:, 1], digest[:, 0]))
             digest, doc, start = digest[order], doc[order], start[order]
             again = (digest[1:] == digest[:-1]).all(axis=1)
-            for d, a in zip(doc[1:][again].tolist(), start[1:][again].tolist(), strict=True):
-                cover(d, a, a)
+            parts.append((doc[1:][again], start[1:][again], start[1:][again]))
         if runs:
             kind.solve(runs, cover)
-        items = list(out.items())
-        for k in range(0, len(items), 4096):
-            part = items[k : k + 4096]
-            yield pa.record_batch(
-                [pa.array([d for d, _ in part], pa.int64()), pa.array([np.array(r, np.int32).tobytes() for _, r in part], pa.binary())],
-                ["doc_id", "ranges"],
-            )
+        parts.append(tuple(np.array(x, t) for x, t in zip(out, (np.int64, np.int32, np.int32), strict=True)))
+        doc, first, last = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        rows = [(0, *x) for x in _split(_by_doc(doc, buckets), doc, first, last)]
+        for k in range(0, len(rows), 1024):
+            yield _rows(rows[k : k + 1024])
 
     return solve
 
@@ -496,13 +514,13 @@ def cover_group(kind: Kind, group: list[tuple[bytes, int, int, int]], cover: Cal
 
 
 def covered(docs: DataFrame, kind: Kind, hot: int = HOT) -> DataFrame:
-    """``doc_id, ranges array<binary>``: for documents with covered windows, pairs of first and
-    last window start (32-bit).  ``docs`` is ``(doc_id long, text string)``, ids not repeated."""
+    """``doc_id, ranges binary``: for documents with covered windows, pairs of first and last
+    window start (32-bit).  ``docs`` is ``(doc_id long, text string)``, ids not repeated."""
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     counted = stash(
-        texts.mapInArrow(_anchors(kind, buckets), _COUNTED).repartition(buckets, "bucket").mapInArrow(_count(hot, buckets), _COUNTED),
+        texts.mapInArrow(_anchors(kind, buckets), _COUNTED).repartitionById(buckets, "bucket").mapInArrow(_count(hot, buckets), _COUNTED),
         "anchors",
     )
     hot_rows = counted.where(F.col("kind") == _HOT)
@@ -516,19 +534,41 @@ def covered(docs: DataFrame, kind: Kind, hot: int = HOT) -> DataFrame:
     found = [np.frombuffer(r.a, np.uint64) for r in hot_rows.where(F.col("bucket") >= limit).select("a").toLocalIterator()]
     hot_fps = spark.sparkContext.broadcast(np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64))
     places = (
-        counted.where("kind = 0").select("a", "b", "bucket").repartition(buckets, "bucket").select("a", "b")
+        counted.where("kind = 0").select("a", "b", "bucket").repartitionById(buckets, "bucket").select("a", "b")
         .mapInArrow(_gather, "doc_id long, places binary")
     )
     met = texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_segments(kind, buckets, hot_fps), _MET)
-    solved = met.repartition(buckets, "bucket").mapInArrow(_solver(kind), _RANGES)
-    return stash(solved.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "covered")
+    solved = met.repartitionById(buckets, "bucket").mapInArrow(_solver(kind, buckets), _COUNTED)
+    back = solved.repartitionById(buckets, "bucket").select("a", "b", "c").mapInArrow(_ranges, _RANGES)
+    return stash(back, "covered")
+
+
+def touched(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose document has coverage, joined with its ``ranges``.
+
+    A filter of fixed size over the ids of ``found`` lets most other texts stay where they are;
+    the join decides.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    word = found.select(bit.alias("bit")).selectExpr("CAST(bit div 64 AS INT) AS w", "shiftleft(1L, CAST(bit % 64 AS INT)) AS b")
+    rows = word.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    shipped = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf(BooleanType())
+    def may_have(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy(np.int64)
+        return pd.Series((shipped.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return docs.where(may_have(bit)).join(found, "doc_id")
 
 
-def mask(ranges: list[bytes] | None, n: int, size: int) -> np.ndarray:
+def mask(ranges: bytes | None, n: int, size: int) -> np.ndarray:
     """Which of n elements lie in a covered window."""
     edge = np.zeros(n + 1, np.int64)
-    for r in ranges or ():
-        pairs = np.frombuffer(r, np.int32).reshape(-1, 2)
-        np.add.at(edge, pairs[:, 0], 1)
-        np.add.at(edge, pairs[:, 1] + size, -1)
+    if ranges:
+        pairs = np.frombuffer(ranges, np.int32).reshape(-1, 2)
+        edge += np.bincount(pairs[:, 0], minlength=n + 1)
+        edge -= np.bincount(pairs[:, 1] + size, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .passages import HOT, Kind, cover_group, covered, decode_run, mask
+from .passages import HOT, Kind, cover_group, covered, decode_run, mask, touched
 
 SIZE = 20
 GRAM = 8
@@ -153,8 +153,14 @@ def remove_repeats(
     Null and empty texts have no words; texts of fewer words than a window lose none; an empty
     table gives an empty result.
     """
-    texts = documents(docs)
+    texts = documents(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     found = covered(texts, Words(size, gram, max_phrases), hot)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    rows = texts.select("doc_id", F.col("text").cast("binary").alias("text")).join(found, "doc_id", "left")
-    return rows.select("doc_id", "text", "ranges").mapInArrow(_cutter(size, keep_text), schema + ", kept string" * keep_text)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
+    cutter = _cutter(size, keep_text)
+    cut = touched(texts, found).select("doc_id", "text", "ranges").mapInArrow(cutter, schema)
+    # All other documents lose nothing, and their texts stay where they are.
+    whole = texts.select("doc_id", "text", F.lit(None).cast("binary").alias("ranges")).mapInArrow(cutter, schema)
+    names = [c for c in cut.columns if c != "doc_id"]
+    cut = cut.select("doc_id", F.struct(*names).alias("cut"))
+    best = F.coalesce("cut", F.struct(*names))
+    return whole.join(cut, "doc_id", "left").select("doc_id", best.alias("best")).select("doc_id", "best.*")

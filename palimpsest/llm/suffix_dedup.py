@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .passages import HOT, Kind, common_prefix, cover_group, covered, decode_run, mask, mix
+from .passages import HOT, Kind, common_prefix, cover_group, covered, decode_run, mask, mix, touched
 
 SIZE = 100
 GRAM = 32
@@ -174,8 +174,19 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
     judged on the input.  Null and empty texts have no bytes; texts shorter than ``size`` lose
     none; an empty table gives an empty result.
     """
-    texts = documents(docs)
+    texts = documents(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     found = covered(texts, Bytes(size, gram), hot)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    rows = texts.select("doc_id", F.col("text").cast("binary").alias("text")).join(found, "doc_id", "left")
-    return rows.select("doc_id", "text", "ranges").mapInArrow(_cutter(size, keep_text), schema + ", kept binary" * keep_text)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    cut = touched(texts, found).select("doc_id", "text", "ranges").mapInArrow(_cutter(size, keep_text), schema)
+    # All other documents stay as they are, and where they are.
+    whole = [F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("s")] + [F.col("text").alias("t")] * keep_text
+    out = texts.select("doc_id", *whole).join(cut, "doc_id", "left")
+    zero = F.lit(0).cast("long")
+    return out.select(
+        "doc_id",
+        F.coalesce("n_bytes", "n").alias("n_bytes"),
+        F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("kept_sha256", "s").alias("kept_sha256"),
+        *[F.coalesce("kept", "t").alias("kept")] * keep_text,
+    )
