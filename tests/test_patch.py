@@ -146,3 +146,21 @@ def test_kinds_by_mode(spark):
     kinds = {(x.pair_id, x.kind) for x in delta.build_windows(pairs, delta.Options(4096)).select("pair_id", "kind").collect()}
     assert {(0, "SAME"), (1, "ZERO"), (2, "RUN"), (4, "REPLACE_RAW"), (6, "REPLACE_RAW")} <= kinds
     assert (5, "DELTA_RAW") in kinds and not [k for i, k in kinds if i == 7]
+
+
+def test_command_line(spark, tmp_path, versions, capsys):
+    from palimpsest.__main__ import main
+
+    old, new = versions
+    files(tmp_path / "old", old)
+    files(tmp_path / "new", new)
+    pairs = [a for n in old for a in ("--file-pair", f"{tmp_path}/old/{n}::{tmp_path}/new/{n}")]
+    patch = str(tmp_path / "p")
+    assert main(["create", *pairs, "--output", patch, "--reverse"]) == 0
+    assert main(["inspect", "--patch", patch, "--root", str(tmp_path / "old")]) == 0
+    assert "forward-ready" in capsys.readouterr().out
+    assert main(["apply", "--patch", patch, "--root", str(tmp_path / "old")]) == 0
+    assert {n: load(tmp_path / "old", n) for n in new} == new
+    assert main(["apply", "--patch", patch, "--root", str(tmp_path / "old")]) == 1
+    assert main(["create", "--output", patch]) == 1
+    assert main(["nonsense"]) == 2
