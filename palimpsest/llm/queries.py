@@ -75,5 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": sql.OP3,
+    "op4_suffix_dedup": sql.OP4,
     "op7_chat_formatting": sql.OP7,
+    "op9_phrase_dedup": sql.OP9,
 }
