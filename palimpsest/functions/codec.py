@@ -70,11 +70,16 @@ def chunk_ends(data: bytes, minimum: int, average: int, maximum: int, gear: np.n
     """
     n = len(data)
     bits = average.bit_length() - 1
-    weight = gear[np.frombuffer(data, np.uint8)]
-    rolled = np.zeros(n, np.uint64)
-    for age in range(min(bits, n)):
-        rolled[age:] += weight[: n - age] << np.uint64(age)
-    marks = np.flatnonzero(rolled & np.uint64(average - 1) == 0)
+    # Sums over 2, 4, 8 and 16 (or 32) last bytes; what is shifted out is not asked for.
+    width, kind = (16, np.uint16) if bits <= 16 else (32, np.uint32)
+    rolled = gear.astype(kind)[np.frombuffer(data, np.uint8)]
+    age = 1
+    while age < width and age < n:
+        older = rolled
+        rolled = older.copy()
+        rolled[age:] += older[:-age] << kind(age)
+        age *= 2
+    marks = np.flatnonzero(rolled & kind(average - 1) == 0)
     out, start = [], 0
     while start < n:
         k = int(np.searchsorted(marks, start + minimum - 1))

@@ -61,23 +61,30 @@ def decode_windows(windows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.mapInArrow(_decode, "pair_id long, output_offset long, output_size long, bytes binary")
 
 
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first, joined = [], []
+        for windows in batch.column(2).to_pylist():
+            at = windows[0]["output_offset"]
+            first.append(at)
+            for w in windows:
+                if w["output_offset"] != at:
+                    raise ValueError("windows of a group leave a gap or overlap")
+                at += len(w["bytes"])
+            joined.append(b"".join(w["bytes"] for w in windows))
+        yield pa.record_batch(
+            [*batch.columns[:2], pa.array(first, pa.int64()), pa.array(joined, pa.binary())],
+            ["pair_id", "group", "group_offset", "bytes"],
+        )
+
+
 def join_groups(decoded: DataFrame) -> DataFrame:
     """``pair_id, group, group_offset, bytes``: windows put together by 8 MiB output group, in
     order; a gap or an overlap is an error."""
     groups = decoded.groupBy("pair_id", output_group(F.col("output_offset")).alias("group")).agg(
-        F.array_sort(F.collect_list(F.struct("output_offset", "bytes"))).alias("w")
-    )
-    total = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.length(x["bytes"]))
-    first = F.col("w")[0]["output_offset"]
-    steps = F.expr("forall(sequence(0, size(w) - 1), i -> i = 0 OR w[i].output_offset = w[i - 1].output_offset + length(w[i - 1].bytes))")
-    return groups.select(
-        "pair_id",
-        "group",
-        first.alias("group_offset"),
-        F.when(steps, F.aggregate("w", F.unhex(F.lit("")), lambda s, x: F.concat(s, x["bytes"])))
-        .otherwise(F.raise_error(F.lit("windows of a group leave a gap or overlap")).cast("binary")).alias("bytes"),
-        total.alias("size"),
+        F.sort_array(F.collect_list(F.struct("output_offset", "bytes"))).alias("w")
     )
+    return groups.mapInArrow(_join, "pair_id long, group long, group_offset long, bytes binary")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

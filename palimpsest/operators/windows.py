@@ -26,8 +26,13 @@ def auto_window_size(largest: Column) -> Column:
 
 
 def same_byte(data: str) -> str:
-    """SQL: whether all bytes are equal (false for no bytes)."""
-    return f"(length({data}) > 0 AND {data} = unhex(repeat(substring(hex({data}), 1, 2), length({data}))))"
+    """SQL: whether all bytes are equal (false for no bytes): shifted by one they stay the same,
+    which mostly is decided by the first two."""
+    n = f"length({data})"
+    return (
+        f"({n} > 0 AND substring({data}, 1, least({n} - 1, 1)) = substring({data}, 2, 1) "
+        f"AND substring({data}, 1, {n} - 1) = substring({data}, 2, {n} - 1))"
+    )
 
 
 def windows(pairs: DataFrame, window_size: int | str = "auto", halo: bool = False) -> DataFrame:
@@ -66,7 +71,7 @@ def windows(pairs: DataFrame, window_size: int | str = "auto", halo: bool = Fals
 def cheap_kind() -> Column:
     """ZERO, RUN or SAME, in this order, else null."""
     return F.expr(f"""
-        CASE WHEN {same_byte('target')} THEN CASE WHEN substring(hex(target), 1, 2) = '00' THEN 'ZERO' ELSE 'RUN' END
+        CASE WHEN {same_byte('target')} THEN CASE WHEN substring(target, 1, 1) = unhex('00') THEN 'ZERO' ELSE 'RUN' END
              WHEN same = target THEN 'SAME' END""")
 
 
