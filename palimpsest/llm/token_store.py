@@ -19,99 +19,215 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, new_dir, stash
+from .common import arrow_rows, documents, drop, give_back, new_dir, stash
 
 END_ID = 2
 MIN_IDS, AVERAGE_IDS, MAX_IDS = 64, 256, 1024
 WINDOW_IDS = 8
 FANOUT = 1024
-#: Words whose ids a worker remembers at most, and words encoded at once.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker remembers at most (some 50 bytes each), words encoded at once, and
+#: bytes of text that share one list of different words.
+CACHE_WORDS = 1_000_000
 _BLOCK_WORDS = 4096
+_RECENT_WORDS = 65_536
+_PART_BYTES = 2 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 _encoders: dict[int, WordEncoder] = {}
 
 
-class WordEncoder:
-    """Encodes texts with a ``tokenizers`` file whose pre-tokenizer never crosses a space.
+def _byte_letters() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for
+    itself, the others counted up from 256."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, more = [], 256
+    for b in range(256):
+        if b in kept:
+            out.append(chr(b))
+        else:
+            out.append(chr(more))
+            more += 1
+    return out
+
+
+class _WordHash:
+    """Two 64-bit polynomial hashes of the strings of an Arrow array."""
+
+    def __init__(self) -> None:
+        seeds = np.random.default_rng(0).integers(0, 2**64, (2, 256), dtype=np.uint64)
+        self.tables = [seeds[0], seeds[1]]
+        self.bases = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, offsets, data = words.buffers()
+        at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)[: at[-1]] if data is not None else np.zeros(0, np.uint8)
+        if not self.powers or len(self.powers[0][0]) <= len(raw):
+            n = len(raw) + len(raw) // 4 + 16
+            self.powers = []
+            for base in self.bases:
+                up = np.full(n, base, np.uint64)
+                down = np.full(n, pow(base, -1, 2**64), np.uint64)
+                up[0] = down[0] = 1
+                self.powers.append((np.cumprod(up), np.cumprod(down)))
+        out = []
+        for table, (up, down) in zip(self.tables, self.powers, strict=True):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[raw] * up[: len(raw)])])
+            out.append((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]])
+        return out[0], out[1]
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Two sets of columns as one, sorted by the first column."""
+    out = [np.concatenate(x) for x in zip(a, b, strict=True)]
+    order = np.argsort(out[0], kind="stable")
+    return tuple(x[order] for x in out)
+
 
-    Such a tokenizer gives a text the ids of its words, so the ids of frequent words are kept.
-    Texts with an added token's string in them are encoded as a whole.
+class WordEncoder:
+    """Encodes texts with a ``tokenizers`` file whose pre-tokenizer never crosses a space, and
+    sets a comma or full stop after a (Latin) letter apart, as patterns of letters, digits and
+    other characters do.
+
+    Such a tokenizer gives a text the ids of its words.  The first ``CACHE_WORDS`` words that a
+    worker meets are remembered, as two hashes (128 bits) and their ids; others are encoded
+    again in each batch that has them.  Texts with an added token's string in them are encoded
+    as a whole.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.added = [x["content"] for x in json.loads(tokenizer_json).get("added_tokens", [])]
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        said = json.loads(tokenizer_json)
+        self.added = [x["content"] for x in said.get("added_tokens", [])]
+        # After these normalizers a lower-case word of letters is one pre-token.
+        kinds = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
+        self.plain = set(kinds) == {"NFC", "Replace", "Lowercase"}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.hash = _WordHash()
+        # Words known for long and recent ones, each as hash, second hash, first place and number of ids.
+        self.old = self.recent = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         self.ids = np.zeros(0, np.uint32)
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.at) + len(words) > CACHE_WORDS:
-            self.clear()
-        for k in range(0, len(words), _BLOCK_WORDS):
-            block = words[k : k + _BLOCK_WORDS]
-            found = self.tokenizer.encode(" ".join(block), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            starts = np.cumsum([0] + [len(w) + 1 for w in block[:-1]])
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word."""
+        out: list[list[int]] = [[]] * len(words)
+        rest: list[int] = []
+        tokenize, letters = self.model.tokenize, self.letters
+        for i, w in enumerate(words):
+            if self.plain and w.isalpha():
+                if w.isascii():
+                    out[i] = [t.id for t in tokenize(w)]
+                    continue
+                low = unicodedata.normalize("NFC", w)
+                if "\u03a3" not in low and "\u0130" not in low:  # their lower case depends on what is around
+                    low = low.lower()
+                    if low.isalpha():
+                        out[i] = [t.id for t in tokenize("".join([letters[b] for b in low.encode()]))]
+                        continue
+            rest.append(i)
+        for k in range(0, len(rest), _BLOCK_WORDS):
+            block = rest[k : k + _BLOCK_WORDS]
+            found = self.tokenizer.encode(" ".join([words[i] for i in block]), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(words[i]) + 1 for i in block[:-1]])
             offsets = np.array([a for a, _ in found.offsets], np.int64)
-            count = np.bincount(np.searchsorted(starts, offsets, "right") - 1, minlength=len(block))
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.ids = np.concatenate([self.ids, ids])
-            for w in block:
-                self.at[w] = len(self.at)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.at})
-        if new:
-            before = len(self.at)
-            self.learn(new)
-            if len(self.at) < before + len(new):  # the memory was cleared: learn all words of these texts
-                self.learn(list({w for words in split for w in words if w not in self.at}))
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if any(x in text for x in self.added):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-            count = self.count[at]
-            end = np.cumsum(count)
-            total = int(end[-1])
-            out.append(self.ids[np.repeat(self.first[at] - (end - count), count) + np.arange(total)])
+            ends = np.cumsum(np.bincount(np.searchsorted(starts, offsets, "right") - 1, minlength=len(block))).tolist()
+            ids, last = found.ids, 0
+            for i, end in zip(block, ends, strict=True):
+                out[i] = ids[last:end]
+                last = end
         return out
 
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    n = len(ids)
-    if n <= MIN_IDS:
-        return [n]
+    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First place and number of ids of each of some different words, and the ids."""
+        one, two = self.hash(words)
+        first, count = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+        known = np.zeros(len(words), bool)
+        order = np.argsort(one)
+        for ones, twos, firsts, counts in (self.old, self.recent):
+            if len(ones):
+                at = np.empty(len(one), np.int64)
+                at[order] = np.minimum(np.searchsorted(ones, one[order]), len(ones) - 1)
+                here = np.flatnonzero((ones[at] == one) & (twos[at] == two))
+                first[here], count[here], known[here] = firsts[at[here]], counts[at[here]], True
+        new = np.flatnonzero(~known)
+        found = self._words(words.take(pa.array(new)).to_pylist())
+        n = np.fromiter(map(len, found), np.int32, len(found))
+        ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))])
+        first[new], count[new] = len(self.ids) + np.cumsum(n) - n, n
+        room = CACHE_WORDS - len(self.old[0]) - len(self.recent[0])
+        if room > 0 and len(new):
+            keep = new[:room]
+            self.recent = _merged(self.recent, (one[keep], two[keep], first[keep], count[keep]))
+            self.ids = ids[: int(first[keep[-1]] + count[keep[-1]])]
+            if len(self.recent[0]) > _RECENT_WORDS:
+                self.old = _merged(self.old, self.recent)
+                self.recent = tuple(x[:0] for x in self.recent)
+        return first, count, ids
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string array without nulls, and where each text's start."""
+        spaced = pc.replace_substring(texts, "\n", " ")
+        if self.plain:
+            spaced = pc.replace_substring_regex(pc.ascii_lower(spaced), "([a-z\u00df-\u00f6\u00f8-\u00ff])([.,])( |$)", "\\1 \\2\\3")
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        first, count, ids = self._look_up(coded.dictionary)
+        at = coded.indices.to_numpy()
+        count = count[at]
+        end = np.cumsum(count, dtype=np.int32)  # of a few MB of text
+        flat = ids[np.repeat(first[at] - (end - count), count) + np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32)]
+        offsets = split.offsets.to_numpy()
+        cut = np.concatenate([[0], end])[offsets - offsets[0]].astype(np.int64)
+        whole = np.zeros(len(texts), bool)
+        for x in self.added:
+            whole |= pc.match_substring(texts, x, ignore_case=True).to_numpy(zero_copy_only=False)
+        if whole.any():
+            parts = [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            for i in np.flatnonzero(whole).tolist():
+                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            flat, cut = np.concatenate(parts), np.cumsum([0] + [len(x) for x in parts])
+        return flat, cut
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        flat, cut = self.encode_flat(texts)
+        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where a chunk may end: after each window of ``WINDOW_IDS`` ids whose hash says so."""
+    n = len(ids) - WINDOW_IDS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * _PRIME
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    rolled = np.zeros(n - WINDOW_IDS + 1, np.uint64)
-    for j in range(WINDOW_IDS):
-        rolled = rolled * _PRIME + mixed[j : n - WINDOW_IDS + 1 + j]
-    marks = (np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(AVERAGE_IDS - MIN_IDS) == 0) + WINDOW_IDS).tolist()
+    rolled = mixed[:n].copy()
+    for j in range(1, WINDOW_IDS):
+        rolled *= _PRIME
+        rolled += mixed[j : n + j]
+    return np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(AVERAGE_IDS - MIN_IDS) == 0) + WINDOW_IDS
+
+
+def fold(at: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids, from the places where a chunk may end."""
     out, last = [], 0
-    for mark in marks:
+    for mark in at:
         while mark - last > MAX_IDS:
             last += MAX_IDS
             out.append(last)
@@ -124,8 +240,23 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out if last == n else [*out, n]
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document's ids."""
+    return fold(marks(ids).tolist(), len(ids))
+
+
 _STAGED = "doc_id long, n_tokens long, recipe array<binary>, new array<struct<digest:binary,data:binary>>"
-_STAGED_ARROW = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in groups of about ``_PART_BYTES`` of text."""
+    end = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        have = end[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(end, have + _PART_BYTES)))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def _stager(tokenizer_json, key: int, end_id: int, width: str):
@@ -135,30 +266,43 @@ def _stager(tokenizer_json, key: int, end_id: int, width: str):
             _encoders.clear()
             encoder = _encoders[key] = WordEncoder(tokenizer_json.value)
         seen: set[bytes] = set()
+        sha256, step = hashlib.sha256, np.dtype(width).itemsize
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                sizes, recipes, news = [], [], []
-                for ids in encoder.encode(batch.column(1).to_pylist()):
-                    ids = np.append(ids, np.uint32(end_id))
-                    data = ids.astype(width).tobytes()
-                    step = len(data) // len(ids)
-                    recipe, new, last = [], [], 0
-                    for end in cuts(ids):
-                        chunk = data[last * step : end * step]
-                        digest = hashlib.sha256(chunk).digest()
+            for batch in _parts(whole):
+                flat, cut = encoder.encode_flat(batch.column(1))
+                sizes = np.diff(cut) + 1
+                ids = np.full(len(flat) + len(sizes), end_id, np.uint32)
+                ids[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = flat
+                ends = np.cumsum(sizes)
+                at = marks(ids)
+                first = np.searchsorted(at, ends - sizes + WINDOW_IDS).tolist()
+                last = np.searchsorted(at, ends, "right").tolist()
+                data = memoryview(ids.astype(width).tobytes())
+                recipe, n_recipe, new, n_new, digests = [], [0], [], [0], []
+                for start, size, a, b in zip((ends - sizes).tolist(), sizes.tolist(), first, last, strict=True):
+                    done = start
+                    for end in fold((at[a:b] - start).tolist(), size):
+                        chunk = data[done * step : (start + end) * step]
+                        digest = sha256(chunk).digest()
                         recipe.append(digest)
                         if digest not in seen:
                             seen.add(digest)
-                            new.append({"digest": digest, "data": chunk})
-                        last = end
-                    sizes.append(len(ids))
-                    recipes.append(recipe)
-                    news.append(new)
+                            digests.append(digest)
+                            new.append(chunk)
+                        done = start + end
+                    n_recipe.append(len(recipe))
+                    n_new.append(len(new))
+                chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(new, pa.binary())], ["digest", "data"])
                 yield pa.record_batch(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(recipes, pa.list_(pa.binary())), pa.array(news, _STAGED_ARROW)],
+                    [
+                        batch.column(0),
+                        pa.array(sizes, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(n_recipe, pa.int32()), pa.array(recipe, pa.binary())),
+                        pa.ListArray.from_arrays(pa.array(n_new, pa.int32()), chunks),
+                    ],
                     ["doc_id", "n_tokens", "recipe", "new"],
                 )
+            give_back()
 
     return stage
 
@@ -189,7 +333,9 @@ def write(
         vocabulary = max(Tokenizer.from_str(text).get_vocab(True).values()) + 1
     width = "<u2" if max(vocabulary, end_id + 1) <= 65536 else "<u4"
     shipped = spark.sparkContext.broadcast(text)
-    staged = stash(documents(docs).mapInArrow(_stager(shipped, zlib.crc32(text.encode()), end_id, width), _STAGED), "staged")
+    stager = _stager(shipped, zlib.crc32(text.encode()), end_id, width)
+    with arrow_rows(spark, 1000):
+        staged = stash(documents(docs).mapInArrow(stager, _STAGED), "staged")
 
     new = staged.select(F.explode("new").alias("x")).select("x.digest", "x.data")
     once = new.repartition("digest").sortWithinPartitions("digest").mapInArrow(_once, "digest binary, data binary")
@@ -200,6 +346,7 @@ def write(
         staged.select("doc_id", "n_tokens", "recipe").repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()),
         "ranges",
     )
+    drop(staged)
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("part").collect()
     docs_before, ids_before, before = 0, 0, []
     for r in sizes:  # one row for each range
@@ -267,36 +414,49 @@ def _crc_tables() -> np.ndarray:
 
 def _summer(width: str):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = np.dtype(width).itemsize
+        sha256, crc32 = hashlib.sha256, zlib.crc32
         for batch in batches:
-            n, crc = [], []
-            for digest, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if hashlib.sha256(data).digest() != digest:
+            digests, column = batch.column(0).to_pylist(), batch.column(1)
+            size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = memoryview(b"".join(column.to_pylist()))
+            wide = memoryview(np.frombuffer(raw, width).astype("<u4").tobytes())
+            ends = np.cumsum(size)
+            crc = []
+            for digest, a, b in zip(digests, (ends - size).tolist(), ends.tolist(), strict=True):
+                if sha256(raw[a:b]).digest() != digest:
                     raise ValueError(f"chunk {digest.hex()} does not have its digest")
-                ids = np.frombuffer(data, width)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
+                crc.append(crc32(wide[a // step * 4 : b // step * 4]))
+            yield pa.record_batch(
+                [batch.column(0), pa.array(size // step, pa.int32()), pa.array(crc, pa.int64())], ["digest", "n", "crc"]
+            )
 
     return sums
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = None
+    """The CRC-32 of each document from those of its chunks, chunk after chunk for all at once."""
+    tables = _crc_tables()
     for batch in batches:
-        if tables is None:
-            tables = _crc_tables()
-        out = []
-        n_of, parts_of = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for doc, n, parts in zip(batch.column(0).to_pylist(), n_of, parts_of, strict=True):
-            crc = total = 0
-            for p in parts:
-                t = tables[p["n"]]
-                crc = int(t[0, crc & 255] ^ t[1, crc >> 8 & 255] ^ t[2, crc >> 16 & 255] ^ t[3, crc >> 24]) ^ p["crc"]
-                total += p["n"]
-            if total != n:
-                raise ValueError(f"document {doc} has {n} ids, its chunks {total}")
-            out.append(crc)
-        yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        parts = batch.column(3)
+        flat = parts.flatten()
+        size = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(size) - size
+        n = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = flat.field(2).to_numpy(zero_copy_only=False).astype(np.uint32)
+        total = np.add.reduceat(n, first) if len(n) else n
+        wrong = np.flatnonzero(total != batch.column(2).to_numpy())
+        if len(wrong):
+            raise ValueError(f"document {batch.column(0)[int(wrong[0])]} has another number of ids than its chunks")
+        crc = np.zeros(len(size), np.uint32)
+        live = np.arange(len(size))
+        for k in range(int(size.max(initial=0))):
+            live = live[size[live] > k]
+            at = first[live] + k
+            c, m = crc[live], n[at]
+            t = tables[m, 0, c & 255] ^ tables[m, 1, c >> 8 & 255] ^ tables[m, 2, c >> 16 & 255] ^ tables[m, 3, c >> 24]
+            crc[live] = t ^ part[at]
+        yield pa.record_batch([*batch.columns[:3], pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def verify(spark: SparkSession, path: str) -> None:
