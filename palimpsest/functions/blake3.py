@@ -42,45 +42,67 @@ def _compress(cv: np.ndarray, block: np.ndarray, counter: np.ndarray, length: np
     return v[:8] ^ v[8:]
 
 
-def _chunk_values(data: bytes, first: int, alone: bool) -> np.ndarray:
-    """Chaining values (8, chunks) of consecutive chunks, the first with number ``first``."""
-    n = max(1, -(-len(data) // CHUNK))
-    sizes = np.full(n, CHUNK, np.int64)
-    sizes[-1] = len(data) - (n - 1) * CHUNK
-    words = np.frombuffer(data.ljust(n * CHUNK, b"\0"), "<u4").reshape(n, 16, 16)
+def _chunk_values(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Chaining values (8, chunks) of all chunks of all inputs, and the number of each input's."""
+    lengths = np.array([len(x) for x in data], np.int64)
+    per = np.maximum(1, -(-lengths // CHUNK))
+    n = int(per.sum())
+    number = np.arange(n) - np.repeat(np.cumsum(per) - per, per)
+    sizes = np.minimum(CHUNK, np.repeat(lengths, per) - number * CHUNK)
+    words = np.frombuffer(b"".join([x.ljust(int(k) * CHUNK, b"\0") for x, k in zip(data, per, strict=True)]), "<u4").reshape(n, 16, 16)
+    alone = np.repeat(per == 1, per)
     cv = np.repeat(np.array(IV, np.uint32)[:, None], n, axis=1)
-    counter = np.arange(first, first + n, dtype=np.uint64)
+    counter = number.astype(np.uint64)
     blocks = np.maximum(1, -(-sizes // BLOCK))
-    for k in range(16):
+    for k in range(int(blocks.max())):
         live = np.flatnonzero(blocks > k)
-        if not len(live):
-            break
         last = blocks[live] == k + 1
         length = np.where(last, sizes[live] - k * BLOCK, BLOCK).astype(np.uint32)
-        flags = np.where(last, CHUNK_END | (ROOT if alone else 0), 0) | (CHUNK_START if k == 0 else 0)
+        flags = np.where(last, CHUNK_END | np.where(alone[live], ROOT, 0), 0) | (CHUNK_START if k == 0 else 0)
         cv[:, live] = _compress(cv[:, live], words[live, k].T, counter[live], length, flags.astype(np.uint32))
-    return cv
+    return cv, per
 
 
-def _parents(left: np.ndarray, right: np.ndarray, root: bool) -> np.ndarray:
+def _parents(left: np.ndarray, right: np.ndarray, root: np.ndarray) -> np.ndarray:
     n = left.shape[1]
     cv = np.repeat(np.array(IV, np.uint32)[:, None], n, axis=1)
-    flags = np.full(n, PARENT | (ROOT if root else 0), np.uint32)
+    flags = np.where(root, PARENT | ROOT, PARENT).astype(np.uint32)
     return _compress(cv, np.concatenate([left, right]), np.zeros(n, np.uint64), np.full(n, BLOCK, np.uint32), flags)
 
 
-def blake3(data: bytes) -> bytes:
-    """The 32-byte BLAKE3 hash of ``data``."""
+def _hash_together(data: list[bytes]) -> list[bytes]:
     with np.errstate(over="ignore"):
-        if len(data) <= CHUNK:
-            return _chunk_values(data, 0, True)[:, 0].astype("<u4").tobytes()
-        level = _chunk_values(data, 0, False)
+        level, per = _chunk_values(data)
         # Neighbours are paired level by level; an odd last value moves up, as in the left-full tree.
-        while level.shape[1] > 2:
-            pairs = level.shape[1] // 2
-            up = _parents(level[:, : 2 * pairs : 2], level[:, 1 : 2 * pairs : 2], False)
-            level = np.concatenate([up, level[:, 2 * pairs :]], axis=1)
-        return _parents(level[:, :1], level[:, 1:2], True)[:, 0].astype("<u4").tobytes()
+        while per.max() > 1:
+            start = np.cumsum(per) - per
+            place = np.arange(level.shape[1]) - np.repeat(start, per)
+            left = np.flatnonzero((place % 2 == 0) & (place + 1 < np.repeat(per, per)))
+            level[:, left] = _parents(level[:, left], level[:, left + 1], np.repeat(per, per)[left] == 2)
+            level = level[:, place % 2 == 0]
+            per = (per + 1) // 2
+    out = np.ascontiguousarray(level.T).astype("<u4")
+    return [row.tobytes() for row in out]
+
+
+def blake3_many(data: list[bytes], together: int = 4 << 20) -> list[bytes]:
+    """The 32-byte BLAKE3 hash of each input; inputs are compressed side by side, so that many
+    small ones cost little more than one."""
+    out: list[bytes] = []
+    group: list[bytes] = []
+    size = 0
+    for x in data:
+        group.append(x)
+        size += max(CHUNK, len(x))
+        if size >= together:
+            out += _hash_together(group)
+            group, size = [], 0
+    return out + (_hash_together(group) if group else [])
+
+
+def blake3(data: bytes) -> bytes:
+    """The 32-byte BLAKE3 hash of ``data``."""
+    return _hash_together([data])[0]
 
 
 def tree_root(domain: bytes, size: int, chunk_size: int, digests: list[bytes], digest=blake3) -> bytes:

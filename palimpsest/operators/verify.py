@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from palimpsest.functions.blake3 import blake3
+from palimpsest.functions.blake3 import blake3_many
 from palimpsest.functions.constants import (
     FINE_BANDS,
     FINE_ENTRY_BYTES,
@@ -24,7 +24,10 @@ _DELTAS = ("DELTA_RAW", "DELTA_ZSTD")
 @F.pandas_udf(BinaryType())
 def blake3_256(data: pd.Series) -> pd.Series:
     """BLAKE3 of a binary column."""
-    return data.map(blake3, na_action="ignore")
+    there = data.notna()
+    out = data.astype(object)
+    out[there] = blake3_many([bytes(x) for x in data[there]])
+    return out
 
 
 def chunk_digests(files: DataFrame, chunk_size: int = IDENTITY_CHUNK, digest=lambda c: F.unhex(F.sha2(c, 256))) -> DataFrame:

@@ -6,7 +6,7 @@ import struct
 import pytest
 
 from palimpsest.functions import codec
-from palimpsest.functions.blake3 import blake3, tree_root
+from palimpsest.functions.blake3 import blake3, blake3_many, tree_root
 
 # Published test vectors of BLAKE3 (input: i modulo 251).
 VECTORS = {
@@ -24,6 +24,12 @@ def test_blake3_vectors():
         assert blake3(bytes(i % 251 for i in range(n))).hex() == want
 
 
+def test_blake3_side_by_side():
+    sizes = [0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 4097, 7000, 16_384, 70_000]
+    data = [bytes((i * n) % 251 for i in range(n)) for n in sizes] * 2
+    assert blake3_many(data, 20_000) == blake3_many(data) == [blake3(x) for x in data]
+
+
 def test_tree_root_depends_on_everything():
     roots = {tree_root(*x) for x in [(b"d", 5, 8, [b"a"]), (b"e", 5, 8, [b"a"]), (b"d", 6, 8, [b"a"]), (b"d", 5, 9, [b"a"]), (b"d", 5, 8, [])]}
     assert len(roots) == 5
