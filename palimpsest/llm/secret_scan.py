@@ -31,6 +31,7 @@ KINDS = ("assign", "access", "hex", "random")
 #: Identifiers as they occur in ordinary text and code.
 IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z][A-Za-z_]{7,}(?![A-Za-z0-9+/_-])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+SMOOTHING = 20.0
 #: Log odds that a token must reach; about one random string among a million tokens.
 THRESHOLD = math.log(1e6)
 TRAINING_DOCUMENTS = 20_000
@@ -105,15 +106,24 @@ def train(docs: DataFrame, found: DataFrame, training_documents: int = TRAINING_
     words = clean.select(
         F.lit(0).alias("label"), F.explode(F.expr(f"regexp_extract_all(text, {_sql(IDENTIFIER)}, 0)")).alias("value")
     )
-    counts = [[1.0] * (65 * 65) for _ in range(2)]  # one of each pair before any is seen
+    counts = [[0.0] * (65 * 65) for _ in range(2)]
     for label, pair, n in _pair_counts(random.unionByName(words)).collect():
         counts[label][pair] += n
+    ordinary, strange = (_transitions(c) for c in counts)
+    return [round(math.log(q) - math.log(p), 6) for p, q in zip(ordinary, strange, strict=True)]
+
+
+def _transitions(counts: list[float]) -> list[float]:
+    """By pair of codes the probability of the second after the first.  What a first character
+    says little about is taken from how frequent the second is after any (Dirichlet smoothing
+    with weight ``SMOOTHING``), and that from the uniform distribution."""
+    total = sum(counts)
+    single = [(sum(counts[b::65]) + 0.5) / (total + 0.5 * 65) for b in range(65)]
     out = []
     for a in range(65):
-        totals = [math.log(sum(c[a * 65 : a * 65 + 65])) for c in counts]
-        for b in range(65):
-            word, rand = (math.log(c[a * 65 + b]) - t for c, t in zip(counts, totals, strict=True))
-            out.append(round(rand - word, 6))
+        row = counts[a * 65 : a * 65 + 65]
+        seen = sum(row)
+        out += [(n + SMOOTHING * p) / (seen + SMOOTHING) for n, p in zip(row, single, strict=True)]
     return out
 
 
