@@ -27,7 +27,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, documents, drop, give_back, new_dir, stash
@@ -44,6 +44,9 @@ _RECENT_WORDS = 65_536
 _PART_BYTES = 2 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
+#: A run of ASCII punctuation without apostrophes between a Latin letter and a space or the end.
+_AFTER_LETTER = "([a-z\u00df-\u00f6\u00f8-\u00ff])([!-&(-/:-@\\[-`{-~]+)( |$)"
+
 _encoders: dict[int, WordEncoder] = {}
 
 
@@ -98,8 +101,8 @@ def _merged(a: tuple, b: tuple) -> tuple:
 
 class WordEncoder:
     """Encodes texts with a ``tokenizers`` file whose pre-tokenizer never crosses a space, and
-    sets a comma or full stop after a (Latin) letter apart, as patterns of letters, digits and
-    other characters do.
+    sets punctuation after a (Latin) letter apart, as patterns of letters, digits and other
+    characters do.
 
     Such a tokenizer gives a text the ids of its words.  The first ``CACHE_WORDS`` words that a
     worker meets are remembered, as two hashes (128 bits) and their ids; others are encoded
@@ -183,7 +186,7 @@ class WordEncoder:
         """The ids of all texts of a string array without nulls, and where each text's start."""
         spaced = pc.replace_substring(texts, "\n", " ")
         if self.plain:
-            spaced = pc.replace_substring_regex(pc.ascii_lower(spaced), "([a-z\u00df-\u00f6\u00f8-\u00ff])([.,])( |$)", "\\1 \\2\\3")
+            spaced = pc.replace_substring_regex(pc.ascii_lower(spaced), _AFTER_LETTER, "\\1 \\2\\3")
         split = pc.split_pattern(spaced, " ")
         coded = split.flatten().dictionary_encode()
         first, count, ids = self._look_up(coded.dictionary)
@@ -307,14 +310,50 @@ def _stager(tokenizer_json, key: int, end_id: int, width: str):
     return stage
 
 
+def _forget() -> None:
+    """Later stages run in the same Python workers, and need no encoder."""
+    _encoders.clear()
+    give_back()
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first row of each digest; rows come sorted by digest."""
+    _forget()
     last = None
     for batch in batches:
-        digests = batch.column(0).to_pylist()
-        keep = [d != (digests[i - 1] if i else last) for i, d in enumerate(digests)]
-        last = digests[-1] if digests else last
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        if not batch.num_rows:
+            continue
+        rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(batch.num_rows, 4)
+        keep = np.ones(len(rows), bool)
+        keep[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        keep[0] = last is None or bool((rows[0] != last).any())
+        last = rows[-1]
+        yield batch.filter(pa.array(keep))
+
+
+def _placer(before):
+    """Rank and first id of each document: rows come by range and doc_id, ``before`` has the
+    documents and ids of all ranges before each."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
+        at: dict[int, tuple[int, int]] = dict(before.value)
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            size = batch.column("n_tokens").to_numpy()
+            rank, start = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+            for p in np.unique(part).tolist():
+                mine = np.flatnonzero(part == p)
+                d, t = at[p]
+                rank[mine] = d + np.arange(len(mine))
+                start[mine] = t + np.cumsum(size[mine]) - size[mine]
+                at[p] = d + len(mine), t + int(size[mine].sum())
+            yield pa.record_batch(
+                [pa.array(rank), batch.column("doc_id"), pa.array(start), batch.column("n_tokens"), batch.column("recipe")],
+                ["i", "doc_id", "start", "n_tokens", "recipe"],
+            )
+
+    return place
 
 
 def write(
@@ -348,20 +387,15 @@ def write(
     )
     drop(staged)
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("part").collect()
-    docs_before, ids_before, before = 0, 0, []
+    docs_before, ids_before, before = 0, 0, {}
     for r in sizes:  # one row for each range
-        before.append((r.part, docs_before, ids_before))
+        before[r.part] = docs_before, ids_before
         docs_before, ids_before = docs_before + r.n, ids_before + r.t
-    offsets = spark.createDataFrame(before, "part int, d long, t long")
-    order = Window.partitionBy("part").orderBy("doc_id")
-    recipes = ranged.join(F.broadcast(offsets), "part").select(
-        (F.col("d") + F.row_number().over(order) - 1).alias("i"),
-        "doc_id",
-        (F.col("t") + F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("start"),
-        "n_tokens",
-        "recipe",
+    shipped = spark.sparkContext.broadcast(before)
+    recipes = ranged.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id").mapInArrow(
+        _placer(shipped), "i long, doc_id long, start long, n_tokens long, recipe array<binary>"
     )
-    recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
     merkle(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
@@ -414,6 +448,7 @@ def _crc_tables() -> np.ndarray:
 
 def _summer(width: str):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         step = np.dtype(width).itemsize
         sha256, crc32 = hashlib.sha256, zlib.crc32
         for batch in batches:
