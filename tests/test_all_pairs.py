@@ -1,0 +1,30 @@
+"""The queries over all pairs, against the SQL of their narrower namesakes with its filter lifted."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from palimpsest.oracle import ORACLE_SQL
+from palimpsest.queries import ALL, QUERIES, SCATTERED, SHIFTED_APPENDED
+
+DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.endswith("_all")))
+def test_all_pairs(spark, name):
+    db = duckdb.connect()
+    for f in glob.glob(f"{DIR}/*.parquet"):
+        db.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    given = ORACLE_SQL[name[:-4]]
+    sql = given.replace(SCATTERED, ALL).replace(SHIFTED_APPENDED, ALL)
+    assert sql != given
+    got, want = QUERIES[name](spark, DIR), db.sql(sql)
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = sorted(map(repr, (tuple(r) for r in got.select(columns).collect())))
+    assert rows == sorted(map(repr, want.select(*columns).fetchall()))
+    if "pair_id" in columns:
+        assert len({r.pair_id % 8 for r in got.select("pair_id").distinct().collect()}) > 2
