@@ -35,13 +35,15 @@ MIN_GROUP = 100
 MAX_STEPS = 12
 SALTS = 32
 #: Statistic: SQL over the base columns, and the least standard deviation that a group is
-#: taken to have, in the same (logarithmic) unit.
+#: taken to have, in the same unit.  The last two are zero for most documents: as shares, not
+#: logarithms, a single repeated line is near zero and many are far from it.  Five lines are
+#: added so that one of few lines is not a large share.
 FEATURES = {
     "word_length": ("ln(word_chars / n_words)", 0.08),
     "symbols": ("ln(1 + 100 * n_symbols / n_words)", 0.4),
     "upper": ("ln(1 + 100 * n_upper / word_chars)", 0.3),
-    "dup_lines": ("ln(1 + 100 * n_dup_lines / n_lines)", 1.0),
-    "repeats": ("ln(1 + 100 * n_repeat_words / n_words)", 0.9),
+    "dup_lines": ("n_dup_lines / (n_lines + 5)", 0.045),
+    "repeats": ("n_repeat_words / n_words", 0.045),
 }
 _UNIT = 1000
 _SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"
