@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,6 +29,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +39,16 @@ END_ID = 2
 MIN_IDS, AVERAGE_IDS, MAX_IDS = 64, 256, 1024
 WINDOW_IDS = 8
 FANOUT = 1024
-#: Words whose ids a worker remembers at most (some 50 bytes each), words encoded at once, and
-#: bytes of text that share one list of different words.
-CACHE_WORDS = 1_000_000
+#: Buckets for remembered words in a worker, their places, and the ids that each can hold: 36 MB, whatever the corpus.
+_BUCKETS = 1 << 18
+_WAYS = 4
+_SLOT_IDS = 8
+#: Words encoded at once, bytes of text that share one list of different words, and digests a task remembers.
 _BLOCK_WORDS = 4096
-_RECENT_WORDS = 65_536
 _PART_BYTES = 2 << 20
+_SEEN = 100_000
+#: Ids whose rolling hash is taken at once.
+_MARK_IDS = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 #: A run of ASCII punctuation without apostrophes between a Latin letter and a space or the end.
@@ -64,39 +71,11 @@ def _byte_letters() -> list[str]:
     return out
 
 
-class _WordHash:
-    """Two 64-bit polynomial hashes of the strings of an Arrow array."""
-
-    def __init__(self) -> None:
-        seeds = np.random.default_rng(0).integers(0, 2**64, (2, 256), dtype=np.uint64)
-        self.tables = [seeds[0], seeds[1]]
-        self.bases = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
-        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        _, offsets, data = words.buffers()
-        at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-        raw = np.frombuffer(data, np.uint8)[: at[-1]] if data is not None else np.zeros(0, np.uint8)
-        if not self.powers or len(self.powers[0][0]) <= len(raw):
-            n = len(raw) + len(raw) // 4 + 16
-            self.powers = []
-            for base in self.bases:
-                up = np.full(n, base, np.uint64)
-                down = np.full(n, pow(base, -1, 2**64), np.uint64)
-                up[0] = down[0] = 1
-                self.powers.append((np.cumprod(up), np.cumprod(down)))
-        out = []
-        for table, (up, down) in zip(self.tables, self.powers, strict=True):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[raw] * up[: len(raw)])])
-            out.append((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]])
-        return out[0], out[1]
-
-
-def _merged(a: tuple, b: tuple) -> tuple:
-    """Two sets of columns as one, sorted by the first column."""
-    out = [np.concatenate(x) for x in zip(a, b, strict=True)]
-    order = np.argsort(out[0], kind="stable")
-    return tuple(x[order] for x in out)
+def settings(tokenizer_json: str) -> dict:
+    """What an encoder asks of the file besides the model, whose parsed form is large."""
+    said = json.loads(tokenizer_json)
+    kinds = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
+    return {"added_tokens": said.get("added_tokens", []), "normalizers": kinds}
 
 
 class WordEncoder:
@@ -104,27 +83,33 @@ class WordEncoder:
     sets punctuation after a (Latin) letter apart, as patterns of letters, digits and other
     characters do.
 
-    Such a tokenizer gives a text the ids of its words.  The first ``CACHE_WORDS`` words that a
-    worker meets are remembered, as two hashes (128 bits) and their ids; others are encoded
-    again in each batch that has them.  Texts with an added token's string in them are encoded
-    as a whole.
+    Such a tokenizer gives a text the ids of its words.  Words are remembered in a table of
+    fixed size, under 128 bits of a hash with a seed of this process, in the bucket its hash
+    gives, and leave it in turn when it is full; a word that has left is encoded again.  What is held besides
+    follows the part of a text at hand (``_PART_BYTES``), never a whole text or corpus.
     """
 
-    def __init__(self, tokenizer_json: str) -> None:
+    def __init__(self, tokenizer_json: str, said: dict | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        said = json.loads(tokenizer_json)
-        self.added = [x["content"] for x in said.get("added_tokens", [])]
+        said = said or settings(tokenizer_json)
+        added = said["added_tokens"]
+        self.added = sorted((x["content"] for x in added), key=len, reverse=True)
+        self.added_ids = {x["content"]: x["id"] for x in added}
+        # Added tokens that are found as they are, before anything else, cut a text in independent parts.
+        self.cuts_texts = not any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added)
+        self.added_pattern = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if added else None
         # After these normalizers a lower-case word of letters is one pre-token.
-        kinds = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
-        self.plain = set(kinds) == {"NFC", "Replace", "Lowercase"}
+        self.plain = set(said["normalizers"]) == {"NFC", "Replace", "Lowercase"}
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.hash = _WordHash()
-        # Words known for long and recent ones, each as hash, second hash, first place and number of ids.
-        self.old = self.recent = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
-        self.ids = np.zeros(0, np.uint32)
+        self.seed = int.from_bytes(os.urandom(8), "little")
+        self.one, self.two = np.zeros((_BUCKETS, _WAYS), np.uint64), np.zeros(_BUCKETS * _WAYS, np.uint64)  # zeros: free
+        self.counts = np.zeros(_BUCKETS * _WAYS, np.uint8)
+        self.turn = np.zeros(_BUCKETS, np.uint8)  # the place of each bucket that is taken next
+        wide = self.tokenizer.get_vocab_size(True) > 65536
+        self.ids = np.zeros((_BUCKETS * _WAYS, _SLOT_IDS), np.uint32 if wide else np.uint16)
 
     def _words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word."""
@@ -157,74 +142,123 @@ class WordEncoder:
 
     def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First place and number of ids of each of some different words, and the ids."""
-        one, two = self.hash(words)
-        first, count = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
-        known = np.zeros(len(words), bool)
-        order = np.argsort(one)
-        for ones, twos, firsts, counts in (self.old, self.recent):
-            if len(ones):
-                at = np.empty(len(one), np.int64)
-                at[order] = np.minimum(np.searchsorted(ones, one[order]), len(ones) - 1)
-                here = np.flatnonzero((ones[at] == one) & (twos[at] == two))
-                first[here], count[here], known[here] = firsts[at[here]], counts[at[here]], True
-        new = np.flatnonzero(~known)
-        found = self._words(words.take(pa.array(new)).to_pylist())
-        n = np.fromiter(map(len, found), np.int32, len(found))
-        ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))])
-        first[new], count[new] = len(self.ids) + np.cumsum(n) - n, n
-        room = CACHE_WORDS - len(self.old[0]) - len(self.recent[0])
-        if room > 0 and len(new):
-            keep = new[:room]
-            self.recent = _merged(self.recent, (one[keep], two[keep], first[keep], count[keep]))
-            self.ids = ids[: int(first[keep[-1]] + count[keep[-1]])]
-            if len(self.recent[0]) > _RECENT_WORDS:
-                self.old = _merged(self.old, self.recent)
-                self.recent = tuple(x[:0] for x in self.recent)
+        strings, seed, digest = words.to_numpy(zero_copy_only=False).tolist(), self.seed, xxhash.xxh3_128_digest
+        keys = np.frombuffer(b"".join([digest(w, seed) for w in strings]), np.uint64)
+        one, two = keys[::2].copy(), keys[1::2].copy()
+        bucket = (one & np.uint64(_BUCKETS - 1)).astype(np.int32)
+        here = self.one[bucket] == one[:, None]
+        slot = bucket * _WAYS + here.argmax(axis=1)
+        known = here.any(axis=1) & (self.two[slot] == two)
+        old, new = np.flatnonzero(known), np.flatnonzero(~known)
+        count = np.zeros(len(strings), np.int32)
+        count[old] = self.counts[slot[old]]
+        found = self._words([strings[i] for i in new.tolist()])
+        count[new] = np.fromiter(map(len, found), np.int32, len(found))
+        held = self.ids[slot[old]][np.arange(_SLOT_IDS) < count[old][:, None]]
+        fresh = np.fromiter(chain.from_iterable(found), self.ids.dtype, int(count[new].sum()))
+        first = np.zeros(len(strings), np.int32)
+        first[old] = np.cumsum(count[old]) - count[old]
+        first[new] = len(held) + np.cumsum(count[new]) - count[new]
+        ids = np.concatenate([held, fresh])
+        keep = new[count[new] <= _SLOT_IDS]
+        keep = keep[np.argsort(bucket[keep], kind="stable")]
+        mine = bucket[keep]
+        begin = np.flatnonzero(np.concatenate([np.ones(min(len(mine), 1), bool), mine[1:] != mine[:-1]]))
+        size = np.diff(np.append(begin, len(mine)))
+        rank = np.arange(len(mine)) - np.repeat(begin, size)
+        at = (mine * _WAYS + (self.turn[mine] + rank) % _WAYS)[rank < _WAYS]
+        self.turn[mine[begin]] += np.minimum(size, _WAYS).astype(np.uint8)
+        keep = keep[rank < _WAYS]
+        self.one.reshape(-1)[at], self.two[at], self.counts[at] = one[keep], two[keep], count[keep]
+        if len(ids):
+            self.ids[at] = ids[np.minimum(first[keep][:, None] + np.arange(_SLOT_IDS), len(ids) - 1)]
         return first, count, ids
 
-    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts of a string array without nulls, and where each text's start."""
-        spaced = pc.replace_substring(texts, "\n", " ")
-        if self.plain:
-            spaced = pc.replace_substring_regex(pc.ascii_lower(spaced), _AFTER_LETTER, "\\1 \\2\\3")
-        split = pc.split_pattern(spaced, " ")
-        coded = split.flatten().dictionary_encode()
-        first, count, ids = self._look_up(coded.dictionary)
-        at = coded.indices.to_numpy()
+    @staticmethod
+    def _spread(split: pa.Array, at: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lists of words, laid end to end, and where each list's start."""
         count = count[at]
         end = np.cumsum(count, dtype=np.int32)  # of a few MB of text
         flat = ids[np.repeat(first[at] - (end - count), count) + np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32)]
         offsets = split.offsets.to_numpy()
-        cut = np.concatenate([[0], end])[offsets - offsets[0]].astype(np.int64)
+        return flat, np.concatenate([np.zeros(1, np.int32), end])[offsets - offsets[0]]
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string array without nulls, and where each text's start."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        # Each different word is cut further, into letters and the punctuation after them.
+        inner = pc.ascii_lower(coded.dictionary) if self.plain else coded.dictionary
+        inner = pc.split_pattern(pc.replace_substring_regex(inner, _AFTER_LETTER, "\\1 \\2\\3") if self.plain else inner, " ")
+        parts = inner.flatten().dictionary_encode()
+        ids, cut = self._spread(inner, parts.indices.to_numpy(), *self._look_up(parts.dictionary))
+        flat, cut = self._spread(split, coded.indices.to_numpy(), cut[:-1], np.diff(cut), ids)
         whole = np.zeros(len(texts), bool)
         for x in self.added:
             whole |= pc.match_substring(texts, x, ignore_case=True).to_numpy(zero_copy_only=False)
         if whole.any():
             parts = [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             for i in np.flatnonzero(whole).tolist():
-                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.ids.dtype)
             flat, cut = np.concatenate(parts), np.cumsum([0] + [len(x) for x in parts])
-        return flat, cut
+        return flat, cut.astype(np.int64)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         flat, cut = self.encode_flat(texts)
         return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
+    def encode_long(self, text: bytes) -> np.ndarray:
+        """The ids of one text, part by part: parts end before a space or newline, or where an
+        added token starts or ends."""
+        out: list[np.ndarray] = []
+        pieces = [text]
+        if self.added_pattern is not None and self.added_pattern.search(text.decode()):
+            if not self.cuts_texts:
+                return self.encode(pa.array([text.decode()]))[0]
+            pieces = [x.encode() for x in self.added_pattern.split(text.decode())]
+        for i, piece in enumerate(pieces):
+            if i % 2:
+                out.append(np.array([self.added_ids[piece.decode()]], np.uint32))
+                continue
+            for a, b in spaced_parts(piece):
+                out.append(self.encode_flat(pa.array([piece[a:b]], pa.string()))[0])
+        return np.concatenate(out) if out else np.zeros(0, self.ids.dtype)
+
+
+def spaced_parts(text: bytes, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Start and end of consecutive parts of about ``size`` bytes that start with a space or
+    newline (but the first); a part without any is as long as it is."""
+    size, a = size or _PART_BYTES, 0
+    while a < len(text):
+        b = a + size
+        if b >= len(text):
+            b = len(text)
+        else:
+            at = max(text.rfind(x, a + 1, b) for x in (b" ", b"\n"))
+            if at < 0:
+                after = [x for x in (text.find(b" ", b), text.find(b"\n", b)) if x >= 0]
+                at = min(after) if after else len(text)
+            b = at
+        yield a, b
+        a = b
+
 
 def marks(ids: np.ndarray) -> np.ndarray:
     """Where a chunk may end: after each window of ``WINDOW_IDS`` ids whose hash says so."""
-    n = len(ids) - WINDOW_IDS + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * _PRIME
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    rolled = mixed[:n].copy()
-    for j in range(1, WINDOW_IDS):
-        rolled *= _PRIME
-        rolled += mixed[j : n + j]
-    return np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(AVERAGE_IDS - MIN_IDS) == 0) + WINDOW_IDS
+    out = [np.zeros(0, np.int64)]
+    for a in range(0, len(ids) - WINDOW_IDS + 1, _MARK_IDS):
+        part = ids[a : a + _MARK_IDS + WINDOW_IDS - 1]
+        n = len(part) - WINDOW_IDS + 1
+        mixed = (part.astype(np.uint64) + np.uint64(1)) * _PRIME
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        rolled = mixed[:n].copy()
+        for j in range(1, WINDOW_IDS):
+            rolled *= _PRIME
+            rolled += mixed[j : n + j]
+        out.append(np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(AVERAGE_IDS - MIN_IDS) == 0) + (WINDOW_IDS + a))
+    return np.concatenate(out)
 
 
 def fold(at: list[int], n: int) -> list[int]:
@@ -252,36 +286,58 @@ _STAGED = "doc_id long, n_tokens long, recipe array<binary>, new array<struct<di
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows in groups of about ``_PART_BYTES`` of text."""
-    end = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    """Rows in groups of about ``_PART_BYTES`` of text; a longer text is a group of its own."""
+    end = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
     a = 0
     while a < batch.num_rows:
         have = end[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(end, have + _PART_BYTES)))
+        b = max(a + 1, int(np.searchsorted(end, have + _PART_BYTES, "right")))
         yield batch.slice(a, b - a)
         a = b
 
 
 def _stager(tokenizer_json, key: int, end_id: int, width: str):
+    """Rows of documents, with the chunks that are new in this task; those of a long text come
+    before it in rows without a doc_id."""
+
+    def rows(docs: list, sizes: list, recipe: list, n_recipe: list, digests: list, new: list, n_new: list) -> pa.RecordBatch:
+        chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(new, pa.binary())], ["digest", "data"])
+        return pa.record_batch(
+            [
+                pa.array(docs, pa.int64()),
+                pa.array(sizes, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(n_recipe, pa.int32()), pa.array(recipe, pa.binary())),
+                pa.ListArray.from_arrays(pa.array(n_new, pa.int32()), chunks),
+            ],
+            ["doc_id", "n_tokens", "recipe", "new"],
+        )
+
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(key)
         if encoder is None:
             _encoders.clear()
-            encoder = _encoders[key] = WordEncoder(tokenizer_json.value)
+            encoder = _encoders[key] = WordEncoder(*tokenizer_json.value)
         seen: set[bytes] = set()
         sha256, step = hashlib.sha256, np.dtype(width).itemsize
         for whole in batches:
             for batch in _parts(whole):
-                flat, cut = encoder.encode_flat(batch.column(1))
+                if batch.num_rows == 1 and pc.binary_length(batch.column(1))[0].as_py() > _PART_BYTES:
+                    flat = encoder.encode_long(batch.column(1)[0].as_buffer().to_pybytes())
+                    cut = np.array([0, len(flat)])
+                else:
+                    flat, cut = encoder.encode_flat(batch.column(1))
                 sizes = np.diff(cut) + 1
-                ids = np.full(len(flat) + len(sizes), end_id, np.uint32)
-                ids[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = flat
+                ids = np.full(len(flat) + len(sizes), end_id, width)
+                for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    ids[a + i : b + i] = flat[a:b]
+                del flat
                 ends = np.cumsum(sizes)
                 at = marks(ids)
                 first = np.searchsorted(at, ends - sizes + WINDOW_IDS).tolist()
                 last = np.searchsorted(at, ends, "right").tolist()
-                data = memoryview(ids.astype(width).tobytes())
+                data = memoryview(ids).cast("B")
                 recipe, n_recipe, new, n_new, digests = [], [0], [], [0], []
+                have = 0
                 for start, size, a, b in zip((ends - sizes).tolist(), sizes.tolist(), first, last, strict=True):
                     done = start
                     for end in fold((at[a:b] - start).tolist(), size):
@@ -289,22 +345,20 @@ def _stager(tokenizer_json, key: int, end_id: int, width: str):
                         digest = sha256(chunk).digest()
                         recipe.append(digest)
                         if digest not in seen:
+                            if len(seen) >= _SEEN:
+                                seen.clear()
                             seen.add(digest)
                             digests.append(digest)
                             new.append(chunk)
+                            have += len(chunk)
+                            if have > 2 * _PART_BYTES and batch.num_rows == 1:
+                                yield rows([None], [None], [], [0, 0], digests, new, [0, len(new)])
+                                digests, new, have = [], [], 0
                         done = start + end
                     n_recipe.append(len(recipe))
                     n_new.append(len(new))
-                chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(new, pa.binary())], ["digest", "data"])
-                yield pa.record_batch(
-                    [
-                        batch.column(0),
-                        pa.array(sizes, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(n_recipe, pa.int32()), pa.array(recipe, pa.binary())),
-                        pa.ListArray.from_arrays(pa.array(n_new, pa.int32()), chunks),
-                    ],
-                    ["doc_id", "n_tokens", "recipe", "new"],
-                )
+                yield rows(batch.column(0), sizes, recipe, n_recipe, digests, new, n_new)
+                del ids, data, at, recipe, digests, new
             give_back()
 
     return stage
@@ -371,7 +425,7 @@ def write(
 
         vocabulary = max(Tokenizer.from_str(text).get_vocab(True).values()) + 1
     width = "<u2" if max(vocabulary, end_id + 1) <= 65536 else "<u4"
-    shipped = spark.sparkContext.broadcast(text)
+    shipped = spark.sparkContext.broadcast((text, settings(text)))
     stager = _stager(shipped, zlib.crc32(text.encode()), end_id, width)
     with arrow_rows(spark, 1000):
         staged = stash(documents(docs).mapInArrow(stager, _STAGED), "staged")
@@ -382,7 +436,7 @@ def write(
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = stash(
-        staged.select("doc_id", "n_tokens", "recipe").repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()),
+        staged.where("doc_id IS NOT NULL").select("doc_id", "n_tokens", "recipe").repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()),
         "ranges",
     )
     drop(staged)

@@ -75,6 +75,81 @@ def test_word_encoder():
         assert [x.tolist() + [2] for x in encoder.encode(pa.array(texts))] == plain_ids(texts)
 
 
+def test_words_that_polynomial_hashes_confuse():
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_store.WordEncoder(f.read())
+    for n in (16, 1024, 4096):
+        one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        for text in (one, two, one + " " + two):  # each in a batch of its own
+            assert [encoder.encode(pa.array([text]))[0].tolist() + [2]] == plain_ids([text])
+
+
+def test_words_leave_a_full_table(monkeypatch):
+    monkeypatch.setattr(token_store, "_BUCKETS", 4)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_store.WordEncoder(f.read())
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdeé,") for _ in range(r.randint(1, 12))) for _ in range(90)]
+    for _ in range(60):
+        texts = [" ".join(r.choices(words, k=r.randint(0, 30))) for _ in range(3)]
+        assert [x.tolist() + [2] for x in encoder.encode(pa.array(texts))] == plain_ids(texts)
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    r = random.Random(6)
+    letters = ["abc", "é", "x<|endoftext|>", "<|startoftext|>", "1", "'s", "...", "\u0301"] + [" ", "\n"] * 3
+    monkeypatch.setattr(token_store, "_PART_BYTES", 40)
+    monkeypatch.setattr(token_store, "_MARK_IDS", 16)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_store.WordEncoder(f.read())
+    for _ in range(60):
+        text = "".join(r.choices(letters, k=r.randint(0, 200)))
+        assert [encoder.encode_long(text.encode()).tolist() + [2]] == plain_ids([text])
+        parts = list(token_store.spaced_parts(text.encode()))
+        assert [0, *(b for _, b in parts)][: len(parts)] == [a for a, _ in parts]
+    ids = np.random.default_rng(3).integers(0, 50_000, 9000).astype(np.uint16)
+    some = token_store.marks(ids).tolist()
+    monkeypatch.undo()
+    assert some == token_store.marks(ids).tolist()
+    # A text longer than a part, with many chunks of its own, beside short ones.
+    rows = [(1, "a b"), (2, " ".join(str(i) + "w" * (i % 7) for i in range(600_000))), (3, None)]
+    ids = plain_ids([x[1] for x in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: tuple(x)[1:] for x in token_store.report(docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    start = np.cumsum([0] + [len(x) for x in ids]).tolist()
+    assert got == {x[0]: (s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for x, s, i in zip(rows, start, ids)}
+
+
+_MEMORY = """
+import sys, resource
+import pyarrow as pa
+from palimpsest.llm import token_store
+path = sys.argv[1]
+class Shipped:
+    with open(path, encoding="utf-8") as f:
+        value = (f.read(),)
+stage = token_store._stager(Shipped, 1, 2, "<u2")
+def batches():
+    yield pa.record_batch([pa.array([1]), pa.array(["a b c"])], ["doc_id", "text"])
+    base.append(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+    yield pa.record_batch([pa.array([2]), pa.array([" ".join("w%x" % (i * 2654435761 % 2**32) for i in range(2_000_000))])], ["doc_id", "text"])
+base = []
+n = sum(x.nbytes for x in stage(batches()))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base[0]) / 1024)
+"""
+
+
+def test_memory_of_a_long_text_without_repeated_words():
+    """20 MB of text, all words different."""
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", _MEMORY, public_tokenizers.path("word_bpe_49k.json")], capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 400
+
+
 def test_cuts():
     r = np.random.default_rng(3)
     a, b = r.integers(0, 50_000, 4000).astype(np.uint32), r.integers(0, 50_000, 3000).astype(np.uint32)
