@@ -13,6 +13,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -28,9 +29,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; where none is set, a local one for a local
+    session, and an error on a cluster, whose machines do not see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found[7:], True)
@@ -74,6 +78,13 @@ def drop(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of queries that nothing refers to any more be removed: Spark does so
+    when the driver's collector finds them, which may be long after they were read."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return freed memory of a Python worker to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
@@ -94,13 +105,23 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return once.unionByName(again)
 
 
+#: Tasks over which the links of one node are dealt.
+HUB_SALTS = 8
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, root)``, root the least node.
 
-    Alternates large-star and small-star steps until nothing changes; every step is two
-    shuffles over the links, whose minima are partially aggregated, so a node with very many
-    links costs one row per task.  Nodes without a link to another node are not returned.
+    Alternates large-star and small-star steps until nothing changes.  The minimum of a node is
+    partially aggregated, and links meet it dealt over ``HUB_SALTS`` tasks, so a node with very
+    many links is not gathered in one.  Nodes without a link to another node are not returned.
     """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))).alias("salt")
+
+    def meet(links: DataFrame, least: DataFrame) -> DataFrame:
+        dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS)).cast("int"))
+        return dealt.join(least.select("u", "m", salts), ["u", "salt"]).select("u", "v", "m")
+
     e = stash(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
@@ -108,10 +129,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = meet(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = meet(large, least)
         e = stash(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),

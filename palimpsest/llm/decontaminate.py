@@ -145,34 +145,39 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def _shards(benchmark: DataFrame, window: int, max_windows: int) -> list:
-    """Broadcast indexes of at most about ``max_windows`` windows each (at least one index)."""
+def _shards(benchmark: DataFrame, window: int, max_windows: int) -> Iterator:
+    """Broadcast indexes of at most about ``max_windows`` windows each (at least one index), made
+    when they are asked for: whoever asks has done with the one before, which is destroyed."""
     windows = item_windows(benchmark, window)
     n = windows.count()
     shards = max(1, -(-n // max_windows))
     if shards > 1:
         windows = stash(windows, "windows")
-    out = []
     for k in range(shards):
         mine = windows.where(F.pmod(F.xxhash64("words"), F.lit(shards)) == k) if shards > 1 else windows
         rows = [(r.item_id, tuple(w.encode() for w in r.words)) for r in mine.toLocalIterator()]
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Index(rows)))
-    return out
+        index = benchmark.sparkSession.sparkContext.broadcast(Index(rows))
+        del rows
+        yield index, shards
+        if shards > 1:
+            index.destroy()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``doc_id, n_words, runs binary, items array<string>`` for each document.
 
     ``runs`` holds the runs of hit words as pairs of little-endian 32-bit start and end;
-    ``items`` the ids, as strings, of the items with a window in the document.
+    ``items`` the ids, as strings, of the items with a window in the document.  Shards are
+    scanned one after the other, so that no task holds two of them.
     """
     texts = documents(docs)
-    scans = [texts.mapInArrow(_scanner(x), _SCHEMA) for x in _shards(benchmark, window, max_windows)]
-    if len(scans) == 1:
-        return scans[0]
-    out = scans[0]
-    for x in scans[1:]:
-        out = out.unionByName(x)
+    out = None
+    for index, shards in _shards(benchmark, window, max_windows):
+        scan = texts.mapInArrow(_scanner(index), _SCHEMA)
+        if shards == 1:
+            return scan
+        scan = stash(scan, "scan")
+        out = scan if out is None else out.unionByName(scan)
     # Shards are scans of the same documents: their runs and items are united.
     return (
         out.groupBy("doc_id")
@@ -243,46 +248,74 @@ def remove_documents(
 
     Each row is judged by its own text, so null and repeated ids need no rule here.
     """
-    for index in _shards(benchmark, window, max_windows):
+    for index, shards in _shards(benchmark, window, max_windows):
         docs = docs.mapInArrow(_keeper(index, docs.columns.index("text")), docs.schema)
+        if shards > 1:
+            docs = stash(docs, "clean")
     return docs
 
 
-def _cutter(index, text_at: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if t is None else cut_text(index.value, t) for t in batch.column(text_at).to_pylist()]
-            columns = list(batch.columns)
-            columns[text_at] = pa.array(texts, pa.string())
-            yield pa.record_batch(columns, batch.schema.names)
-
-    return cut
-
-
-def cut_text(index: Index, text: str) -> str:
-    """``text`` without its hit words; each removed run, with what stands between its words,
-    leaves one space."""
-    _, hit, _ = index.scan(text)
-    if not hit.any():
+def cut_text(text: str, runs: np.ndarray) -> str:
+    """``text`` without the runs of hit words; each, with what stands between its words, leaves
+    one space."""
+    if not len(runs):
         return text
     raw = text.encode()
     plain = np.frombuffer(raw.translate(_TABLE), np.uint8) != 0x20
     edge = np.diff(np.concatenate([[0], plain.astype(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     out, last = [], 0
-    runs = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2)
     for a, b in runs.tolist():
         out += [raw[last : starts[a]], b" "]
         last = ends[b - 1]
     return b"".join([*out, raw[last:]]).decode()
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _marker(index, text_at: int, runs_at: int):
+    """Adds the hit words of one shard to the runs of those before."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, had in zip(batch.column(text_at), batch.column(runs_at).to_pylist(), strict=True):
+                hit = index.value.scan(text.as_py())[1]
+                for a, b in np.frombuffer(had or b"", "<i4").reshape(-1, 2).tolist():
+                    hit[a:b] = True
+                out.append(_bits(hit))
+            columns = list(batch.columns)
+            columns[runs_at] = pa.array(out, pa.binary())
+            yield pa.record_batch(columns, batch.schema.names)
+
+    return mark
+
+
+def _cutter(text_at: int, runs_at: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                None if t is None else cut_text(t, np.frombuffer(r, "<i4").reshape(-1, 2))
+                for t, r in zip(batch.column(text_at).to_pylist(), batch.column(runs_at).to_pylist(), strict=True)
+            ]
+            columns = list(batch.columns)
+            columns[text_at] = pa.array(texts, pa.string())
+            yield pa.record_batch(columns, batch.schema.names)
+
+    return cut
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with hit words cut from ``text``; other columns are left as they are.
 
-    For a benchmark within ``MAX_WINDOWS``; a null text stays null.
+    Words are judged on the input, so all shards are scanned before any word goes.  A null text
+    stays null; each row is judged by its own text.
     """
-    shards = _shards(benchmark, window, MAX_WINDOWS)
-    if len(shards) > 1:
-        raise ValueError("the benchmark has more windows than one task may hold")
-    return docs.mapInArrow(_cutter(shards[0], docs.columns.index("text")), docs.schema)
+    names, runs = docs.columns, "__runs"
+    while runs in names:
+        runs += "_"
+    out = docs.withColumn(runs, F.lit(None).cast("binary"))
+    text_at, runs_at = names.index("text"), len(names)
+    for index, shards in _shards(benchmark, window, max_windows):
+        out = out.mapInArrow(_marker(index, text_at, runs_at), out.schema)
+        if shards > 1:
+            out = stash(out, "marked")
+    return out.mapInArrow(_cutter(text_at, runs_at), out.schema).drop(runs)

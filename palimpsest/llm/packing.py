@@ -3,9 +3,8 @@
 The bucket boundaries are optimal for the histogram of all lengths: dynamic programming over
 the distinct lengths finds the ``n_buckets`` boundaries with the least total padding, in time
 proportional to buckets times lengths (the costs form lines, so a lower hull replaces the
-inner search).  The histogram that reaches the driver is bounded: lengths up to ``EXACT`` are
-counted one by one, longer ones are rounded up to twelve significant bits, which leaves at
-most some 110,000 distinct lengths whatever the corpus.
+inner search).  The histogram that reaches the driver has one row for each distinct length;
+n distinct lengths take n^2 / 2 tokens at least, so 10^13 tokens have less than five million.
 
 Inside a bucket documents follow each other by doc_id and are cut into batches of as many as
 the token budget holds at the bucket's length.  Ranks come from counts of sorted ranges, so no
@@ -21,7 +20,6 @@ from .common import documents, stash
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 65_536
-EXACT = 4096
 
 
 def boundaries(histogram: dict[int, int], n_buckets: int = N_BUCKETS) -> list[int]:
@@ -69,13 +67,6 @@ def _useless(a: tuple, b: tuple, c: tuple) -> bool:
     return (c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
 
 
-def rounded(n: Column) -> Column:
-    """Lengths as the histogram has them: never less, and equal up to ``EXACT``."""
-    bits = F.greatest(F.length(F.bin(F.greatest(n - 1, F.lit(1)))) - 12, F.lit(0))
-    step = F.pow(F.lit(2.0), bits).cast("long")
-    return F.when(n <= EXACT, n).otherwise(n + step - 1 - F.pmod(n + step - 1, step))
-
-
 def word_tokens(text: Column) -> Column:
     """Words of a text and one token for its end."""
     return (F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")) + 1).cast("long")
@@ -91,14 +82,15 @@ def pack(lengths: DataFrame, n_buckets: int = N_BUCKETS, token_budget: int = TOK
     if n_buckets < 1 or token_budget < 1:
         raise ValueError("n_buckets and token_budget must be positive")
     spark = lengths.sparkSession
-    rows = stash(lengths.select("doc_id", "n_tokens", rounded(F.col("n_tokens")).alias("r")), "lengths")
-    histogram = {r.r: r.n for r in rows.groupBy("r").agg(F.count("*").alias("n")).collect()}
+    rows = stash(lengths.select("doc_id", "n_tokens"), "lengths")
+    counted = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toPandas()
+    histogram = dict(zip(counted["n_tokens"].tolist(), counted["n"].tolist(), strict=True))
     ends = boundaries(histogram, n_buckets)
     if not ends:
         ends = [1]
     bucket = F.lit(len(ends) - 1)
     for k in range(len(ends) - 2, -1, -1):
-        bucket = F.when(F.col("r") <= ends[k], k).otherwise(bucket)
+        bucket = F.when(F.col("n_tokens") <= ends[k], k).otherwise(bucket)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = stash(
         rows.withColumn("bucket", bucket.cast("int"))

@@ -2,16 +2,21 @@
 
 For each language and source the minimum-covariance-determinant (MCD) estimate of location and
 scatter is fitted to transformed statistics of its documents, and a document is rejected if its
-squared Mahalanobis distance exceeds the chi-square cutoff.  The fit is deterministic: it
-starts from medians and quartiles and takes concentration steps, each of which keeps the
-``ALPHA`` share of documents nearest to the last estimate and estimates from them alone, until
-the determinants stop falling.
-
-The statistics are kept as integers (thousandths), so that sums are exact and the result does
-not depend on how rows are dealt.  A concentration step is one pass: documents are binned by
-distance (32 bins for each factor of two), and counts, sums and products are added up by group
-and bin; the bins up to the ``ALPHA`` share make the next estimate.  What is shuffled follows
-the number of groups and bins, so a group with a third of all rows costs no more than others.
+squared Mahalanobis distance exceeds the chi-square cutoff.  The fit is deterministic: several
+starts (``STARTS``) take two concentration steps each, the start of least determinant goes on,
+and steps are taken until no determinant falls any more.  A step keeps the ``ALPHA`` share of
+documents nearest to the last estimate and estimates from them alone.
+
+Groups of every size are treated alike: each estimate counts ``PRIOR`` further documents, which
+are distributed as those kept in its language, whose own estimate counts as many distributed as
+those kept in all languages.  Ten documents are judged nearly as their language is, ten thousand
+by themselves.
+
+The statistics are kept as integers (thousandths).  A concentration step is one pass: documents
+are binned by distance (``BINS`` bins for each factor of two), and counts, sums and products are
+added up by group and bin; the bins up to the ``ALPHA`` share make the next estimate, the last of
+them with the weight that makes the share exact.  What is shuffled follows the number of groups
+and bins, so a group with a third of all rows costs no more than others.
 """
 
 from __future__ import annotations
@@ -29,10 +34,14 @@ MAX_REPEAT_PERCENT = 30
 ALPHA = 0.75
 #: Share of ordinary documents that the cutoff may reject, if the statistics are normal.
 TAIL = 1e-6
-#: Sources with fewer documents of a language have one estimate together, and if they are still
-#: fewer, nothing in them is rejected by distance.
-MIN_GROUP = 100
-MAX_STEPS = 12
+#: Documents that the language of a group, and all languages, count for in its estimate.
+PRIOR = 50
+#: Where fits start: medians and quartiles of the group, of its language and of all documents, and
+#: means and scatter of the group and of its language.
+STARTS = ("median", "language median", "overall median", "mean", "language mean")
+BINS = 64
+#: Steps after which a fit that still changes (in the sixth digit of a determinant) is taken as it is.
+MAX_STEPS = 40
 SALTS = 32
 #: Statistic: SQL over the base columns, and the least standard deviation that a group is
 #: taken to have, in the same unit.  The last two are zero for most documents: as shares, not
@@ -121,23 +130,41 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+_GROUP = ["lang", "source", "start"]
+_SUMS = ["n", *(f"s_{i}" for i in range(_P)), *(f"s_{i}_{j}" for i in range(_P) for j in range(i + 1))]
+_FLOORS = [f for _, f in FEATURES.values()]
+
+
+def _named(x: str, names: list[str]) -> list[Column]:
+    return [F.col(c).alias(f"{x}_{c}") for c in names]
+
+
+def _shrunk(sums: DataFrame) -> DataFrame:
+    """Counts, sums and products by group, with ``PRIOR`` documents of the parents added."""
+    total = [F.sum(c).alias(c) for c in _SUMS]
+    lang = sums.groupBy("lang", "start").agg(*total)
+    every = lang.groupBy("start").agg(*total).select("start", *_named("a", _SUMS))
+    lang = lang.join(every, "start").select(
+        "lang", "start", *((F.col(c) + PRIOR * F.col(f"a_{c}") / F.col("a_n")).alias(f"p_{c}") for c in _SUMS)
+    )
+    out = sums.join(lang, ["lang", "start"])
+    return out.select(*_GROUP, *((F.col(c) + PRIOR * F.col(f"p_{c}") / F.col("p_n")).alias(c) for c in _SUMS))
+
+
 def _estimate(sums: DataFrame, scale: float) -> DataFrame:
     """From ``n``, sums ``s_i`` and products ``s_i_j`` by group: means ``m_i`` and the Cholesky
     factor ``l_i_j`` of the scatter, with the least variances added to the diagonal."""
-    floors = [f for _, f in FEATURES.values()]
-    group = ["lang", "source"]
-    out = sums.select(*group, "n", *(F.col(f"s_{i}") for i in range(_P)), *(F.col(f"s_{i}_{j}") for i in range(_P) for j in range(i + 1)))
     cov = []
     for i in range(_P):
         for j in range(i + 1):
             c = (F.col(f"s_{i}_{j}") - F.col(f"s_{i}") * F.lit(1.0) * F.col(f"s_{j}") / F.col("n")) / F.col("n") / _UNIT**2
-            cov.append((c * scale + (floors[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}"))
-    out = out.select(*group, *((F.col(f"s_{i}") / F.col("n") / _UNIT).alias(f"m_{i}") for i in range(_P)), *cov)
+            cov.append((c * scale + (_FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}"))
+    out = sums.select(*_GROUP, *((F.col(f"s_{i}") / F.col("n") / _UNIT).alias(f"m_{i}") for i in range(_P)), *cov)
     for j in range(_P):  # one column of the factor after the other
         square = F.col(f"c_{j}_{j}")
         for k in range(j):
             square = square - F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}")
-        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(square, F.lit((floors[j] / 100) ** 2))))
+        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(square, F.lit((_FLOORS[j] / 100) ** 2))))
         for i in range(j + 1, _P):
             rest = F.col(f"c_{i}_{j}")
             for k in range(j):
@@ -146,12 +173,15 @@ def _estimate(sums: DataFrame, scale: float) -> DataFrame:
     det = F.lit(0.0)
     for j in range(_P):
         det = det + F.log(F.col(f"l_{j}_{j}"))
-    return out.select(*group, *(f"m_{i}" for i in range(_P)), *(f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)), det.alias("det"))
+    return out.select(*_GROUP, *_FIT, F.round(det, 6).alias("det"))
+
+
+_FIT = [*(f"m_{i}" for i in range(_P)), *(f"l_{i}_{j}" for i in range(_P) for j in range(i + 1))]
 
 
 def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """``rows`` with ``d2``, null where the group has no estimate.  Both sides are salted, so
-    that a large group meets its estimate in many tasks."""
+    """``rows`` with ``start`` and ``d2`` for each estimate of their group, null where it has none.
+    Both sides are salted, so that a large group meets its estimate in many tasks."""
     salted = estimate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = rows.join(salted, ["lang", "source", "salt"], "left")
     names = []
@@ -164,63 +194,85 @@ def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     d2: Column = F.lit(0.0)
     for z in names:
         d2 = d2 + F.col(z) * F.col(z)
-    return out.select(*rows.columns, d2.alias("d2"))
+    return out.select(*rows.columns, "start", d2.alias("d2"))
 
 
-def _concentrate(rows: DataFrame, estimate: DataFrame, scale: float) -> DataFrame:
-    """One concentration step."""
-    binned = _distance(rows, estimate).where("d2 IS NOT NULL").withColumn(
-        "bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * 32)
-    )
+def _sums(rows: DataFrame, by: list[str]) -> DataFrame:
     sums = [F.count("*").alias("n")] + [F.sum(f"x_{i}").alias(f"s_{i}") for i in range(_P)]
     sums += [F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"s_{i}_{j}") for i in range(_P) for j in range(i + 1)]
-    bins = binned.groupBy("lang", "source", "bin").agg(*sums)
-    group = Window.partitionBy("lang", "source")
-    before = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = bins.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("__all", F.sum("n").over(group))
-    near = bins.where(F.col("__before") < F.col("__all") * ALPHA)
-    names = [c for c in bins.columns if c == "n" or c.startswith("s_")]
-    return _estimate(near.groupBy("lang", "source").agg(*(F.sum(c).alias(c) for c in names)), scale)
+    return rows.groupBy(*by).agg(*sums)
+
+
+def _concentrate(rows: DataFrame, estimate: DataFrame, scale: float) -> DataFrame:
+    """One concentration step of every fit."""
+    binned = _distance(rows, estimate).where("d2 IS NOT NULL").withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * BINS))
+    bins = _sums(binned, [*_GROUP, "bin"])
+    fit = Window.partitionBy(*_GROUP)
+    before = F.sum("n").over(fit.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    room = F.sum("n").over(fit) * ALPHA - F.coalesce(before, F.lit(0))
+    weight = F.least(F.lit(1.0), room / F.col("n"))
+    near = bins.withColumn("weight", weight).where("weight > 0")
+    return _estimate(_shrunk(near.groupBy(*_GROUP).agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in _SUMS))), scale)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The estimates that the fits of each group start from."""
+    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    quartiles = [F.expr(f"percentile(x_{i}, array(0.25D, 0.5D, 0.75D))").alias(f"q_{i}") for i in range(_P)]
+    own = rows.groupBy("lang", "source").agg(*quartiles)
+    lang = groups.join(rows.groupBy("lang").agg(*quartiles), "lang")
+    medians = rows.agg(*quartiles).first()
+    every = groups.select("lang", "source", *(F.array(*(F.lit(v) for v in medians[i] or [None] * 3)).alias(f"q_{i}") for i in range(_P)))
+    out = None
+    for name, found in zip(STARTS[:3], (own, lang, every), strict=True):
+        sd = [(F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / _UNIT / 1.349 for i in range(_P)]
+        fit = found.select(
+            "lang",
+            "source",
+            F.lit(STARTS.index(name)).alias("start"),
+            *((F.col(f"q_{i}")[1] / _UNIT).alias(f"m_{i}") for i in range(_P)),
+            *(
+                (F.sqrt(sd[i] * sd[i] + _FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
+                for i in range(_P)
+                for j in range(i + 1)
+            ),
+            F.lit(0.0).alias("det"),
+        )
+        out = fit if out is None else out.unionByName(fit)
+    sums = stash(_sums(rows, ["lang", "source"]), "sums")
+    names = [c for c in _SUMS]
+    of_lang = sums.groupBy("lang").agg(*(F.sum(c).alias(c) for c in names))
+    own = sums.withColumn("start", F.lit(STARTS.index("mean")))
+    lang = sums.select("lang", "source").join(of_lang, "lang").withColumn("start", F.lit(STARTS.index("language mean")))
+    classical = own.unionByName(lang.select(own.columns)).select(*_GROUP, *(F.col(c).cast("double").alias(c) for c in names))
+    return out.unionByName(_estimate(_shrunk(classical), 1.0))
 
 
-def mcd(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def mcd(rows: DataFrame) -> DataFrame:
     """The MCD estimate of each group of ``rows(lang, source, salt, x_0, ..)``."""
-    start = rows.groupBy("lang", "source").agg(
-        F.count("*").alias("n"),
-        *(F.expr(f"percentile(x_{i}, array(0.25D, 0.5D, 0.75D))").alias(f"q_{i}") for i in range(_P)),
-    )
-    floors = [f for _, f in FEATURES.values()]
-    sd = [(F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / _UNIT / 1.349 for i in range(_P)]
-    estimate = start.where(F.col("n") >= min_group).select(
-        "lang",
-        "source",
-        *((F.col(f"q_{i}")[1] / _UNIT).alias(f"m_{i}") for i in range(_P)),
-        *(
-            (F.sqrt(sd[i] * sd[i] + floors[i] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
-            for i in range(_P)
-            for j in range(i + 1)
-        ),
-        F.lit(0.0).alias("det"),
-    )
-    estimate = stash(estimate, "mcd")
+    estimate = stash(_starts(rows), "mcd")
     # The scatter of the nearest share is smaller than that of all, by a known factor.
     scale = ALPHA / chi2_cdf(chi2_quantile(ALPHA, _P), _P + 2)
-    mark = None
-    for _ in range(MAX_STEPS):
+    for _ in range(2):
+        estimate = stash(_concentrate(rows, estimate, scale), "mcd")
+    best = F.min_by(F.struct(*(c for c in estimate.columns if c not in ("lang", "source"))), F.struct("det", "start"))
+    estimate = estimate.groupBy("lang", "source").agg(best.alias("best")).select("lang", "source", "best.*")
+    # The fits that go on share their parents from here on, wherever they started.
+    estimate = stash(estimate.withColumn("start", F.lit(0)), "mcd")
+    for _ in range(MAX_STEPS - 2):
+        before = estimate.select("lang", "source", F.col("det").alias("last"))
         estimate = stash(_concentrate(rows, estimate, scale), "mcd")
-        now = estimate.agg(F.round(F.sum(F.round("det", 6)), 3)).first()[0]
-        if now == mark:
+        if estimate.join(before, ["lang", "source"]).where(F.abs(F.col("det") - F.col("last")) > 1e-5).isEmpty():
             break
-        mark = now
     return estimate
 
 
-def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
+def verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, d2``.
 
     Null and empty texts have no words and fail; a null language or source is a group of its
-    own; ``d2`` is null where no distance is judged (a failed document, or a small group).
+    own; ``d2`` is null for a document that fails.
     Rows are judged one by one, so repeated rows and repeated or null ids get one row each.
     """
     def column(name: str) -> Column:
@@ -240,12 +292,7 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, tail: float = TAIL) ->
     )
     named = [F.coalesce(c, F.lit("\u0000null")).alias(c) for c in ("lang", "source")]
     base = stash(base.select(*[c for c in base.columns if c not in ("lang", "source")], *named), "statistics")
-    sizes = base.where(~F.col("base_failed")).groupBy("lang", "source").count().where(F.col("count") >= min_group)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    large = stash(sizes.select("lang", "source", salts, F.lit(True).alias("__large")), "sources")
-    own = F.when(F.col("__large"), F.col("source")).otherwise("\u0000few")
-    base = stash(base.join(large, ["lang", "source", "salt"], "left").withColumn("source", own).drop("__large"), "grouped")
-    estimate = mcd(base.where(~F.col("base_failed")), min_group)
+    estimate = mcd(base.where(~F.col("base_failed")))
     limit = chi2_quantile(1 - tail, _P)
     judged = _distance(base, estimate)
     return judged.select(
@@ -261,11 +308,11 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, tail: float = TAIL) ->
     )
 
 
-def keep_good(docs: DataFrame, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
+def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns.
 
     A row with a null doc_id is rejected: its verdict can't be told from another's.  Of rows
     that share a doc_id, all stay if one is kept.
     """
-    kept = verdicts(docs, min_group, tail).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = verdicts(docs, tail).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long") == kept["__kept_id"], "left_semi")

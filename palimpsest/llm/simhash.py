@@ -18,7 +18,8 @@ task emits is a spanning forest of the links it has verified, never all pairs of
 A bucket of more than ``bucket_cap`` fingerprints is not compared in one task: its members go
 to an exact second way, where each emits the words at distance 2 or less of itself.  Two
 fingerprints within distance 4 share such a midpoint, and sharing one proves the distance, so
-a midpoint links all that have it; at most 2,081 fingerprints can.
+a midpoint links all that have it; at most 2,081 fingerprints can.  For a distance below 4 the
+members of a midpoint are compared.
 """
 
 from __future__ import annotations
@@ -212,13 +213,13 @@ def _linker(distance: int, cap: int, star: bool):
                 group = fp[at : at + n]
                 if n == 2:
                     a, b = int(group[0]), int(group[1])
-                    if a != b and (star or (a ^ b).bit_count() <= distance):
+                    if a != b and (a ^ b).bit_count() <= distance:
                         links.append((a, b))
                     continue
                 group = np.unique(group)
-                if star:
+                if star and distance == MAX_DISTANCE:
                     links.extend((int(group[0]), int(x)) for x in group[1:])
-                elif len(group) > cap:
+                elif not star and len(group) > cap:
                     hot.update(group.tolist())
                 else:
                     links.extend(_near(group, distance))
@@ -267,10 +268,8 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, bucket_cap: int = 2048)
     hot = found.where("b is null").select(F.col("a").alias("fp"))
     found = found.where("b is not null")
     if not hot.isEmpty():
-        if distance < MAX_DISTANCE:
-            raise NotImplementedError("the midpoint way proves a distance of 4")
         mid = hot.mapInArrow(_midpoints, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-        found = found.unionByName(mid.mapInArrow(_linker(distance, bucket_cap, True), "a long, b long").distinct())
+        found = found.unionByName(mid.mapInArrow(_linker(distance, bucket_cap, True), "a long, b long").where("b is not null").distinct())
     return found
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, documents, drop, give_back, new_dir, stash
+from .common import arrow_rows, documents, drop, give_back, new_dir, release, stash
 
 END_ID = 2
 MIN_IDS, AVERAGE_IDS, MAX_IDS = 64, 256, 1024
@@ -385,6 +385,17 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
+def _ranger(bounds):
+    """Rows with the number of bounds at or below their doc_id."""
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.searchsorted(bounds.value, batch.column(0).to_numpy(), "right").astype(np.int32)
+            yield pa.record_batch([*batch.columns, pa.array(part)], [*batch.schema.names, "part"])
+
+    return ranges
+
+
 def _placer(before):
     """Rank and first id of each document: rows come by range and doc_id, ``before`` has the
     documents and ids of all ranges before each."""
@@ -433,23 +444,27 @@ def write(
     new = staged.select(F.explode("new").alias("x")).select("x.digest", "x.data")
     once = new.repartition("digest").sortWithinPartitions("digest").mapInArrow(_once, "digest binary, data binary")
     once.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    del new, once
+    release(spark)  # their shuffle files are as large as the ids
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = stash(
-        staged.where("doc_id IS NOT NULL").select("doc_id", "n_tokens", "recipe").repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()),
-        "ranges",
-    )
-    drop(staged)
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("part").collect()
+    ids = staged.where("doc_id IS NOT NULL")
+    # Any bounds are right; these make even ranges.  A sketch of fixed size comes to the driver.
+    bounds = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
+    ranger = _ranger(spark.sparkContext.broadcast(np.unique(np.array(bounds, np.float64).astype(np.int64))))
+    sized = ids.select("doc_id", "n_tokens").mapInArrow(ranger, "doc_id long, n_tokens long, part int")
+    sizes = sized.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("part").collect()
     docs_before, ids_before, before = 0, 0, {}
     for r in sizes:  # one row for each range
         before[r.part] = docs_before, ids_before
         docs_before, ids_before = docs_before + r.n, ids_before + r.t
     shipped = spark.sparkContext.broadcast(before)
+    ranged = ids.select("doc_id", "n_tokens", "recipe").mapInArrow(ranger, "doc_id long, n_tokens long, recipe array<binary>, part int")
     recipes = ranged.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id").mapInArrow(
         _placer(shipped), "i long, doc_id long, start long, n_tokens long, recipe array<binary>"
     )
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    drop(staged)
     merkle(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 

@@ -65,7 +65,7 @@ def test_removal(spark, untidy, docs_rows, benchmark_rows):
         assert kept.columns == untidy.columns
         ids = [r.doc_id for r in kept.collect()]
         assert set(ids) - {None, 11} == {i for i, x in want.items() if not x[4]} - {11} and None in ids
-    cut = decontaminate.remove_spans(untidy, bench)
+    cut = decontaminate.remove_spans(untidy, bench, max_windows=20)
     for r in cut.where("doc_id <> 11").collect():
         n, hit, *_ = want[r.doc_id]
         assert len(words_of(r.text)) == n - hit
@@ -80,44 +80,89 @@ def test_quality_base(odd, untidy, nothing, docs_rows):
     assert quality.verdicts(nothing).collect() == [] and quality.keep_good(nothing).collect() == []
 
 
-def plain_mcd(x, floors):
-    """The same fit with numpy: medians and quartiles, then concentration steps over bins."""
-    q = np.percentile(x, [25, 50, 75], axis=0)
-    mean, cov = q[1] / 1000, np.diag(((q[2] - q[0]) / 1000 / 1.349) ** 2 + floors**2)
-    p = x.shape[1]
+def plain_mcd(groups, floors):
+    """The same fit with numpy: ``{(lang, source): statistics}`` to squared distances."""
+    p = len(floors)
     scale = quality.ALPHA / quality.chi2_cdf(quality.chi2_quantile(quality.ALPHA, p), p + 2)
-    mark = None
-    for _ in range(quality.MAX_STEPS):
-        z = x / 1000 - mean
-        d2 = np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)
-        bins = np.floor(np.log2(d2 + 2.0**-20) * 32)
-        order = np.sort(bins)
-        limit = order[int(np.ceil(len(order) * quality.ALPHA)) - 1]
-        near = x[bins <= limit] / 1000
-        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * scale + np.diag(floors**2)
-        now = round(round(np.log(np.diag(np.linalg.cholesky(cov))).sum(), 6), 3)
-        if now == mark:
+    langs = {g: [h for h in groups if h[0] == g[0]] for g in groups}
+    x = {g: np.asarray(v, float) / 1000 for g, v in groups.items()}
+    stack = lambda names: np.concatenate([x[g] for g in names])
+
+    def distances(g, fit):
+        z = x[g] - fit[0]
+        return np.einsum("ij,jk,ik->i", z, np.linalg.inv(fit[1]), z)
+
+    def moments(v, w):
+        return np.array([w.sum(), *(w[:, None] * v).sum(axis=0), *np.einsum("i,ij,ik->jk", w, v, v).ravel()])
+
+    def fits(sums, k):
+        """From each group's moments, with the parents' added, to (mean, scatter)."""
+        every, out = sum(sums.values()), {}
+        for g in sums:
+            parent = sum(sums[h] for h in langs[g])
+            parent = parent + quality.PRIOR * every / every[0]
+            m = sums[g] + quality.PRIOR * parent / parent[0]
+            mean = m[1 : p + 1] / m[0]
+            out[g] = mean, (m[p + 1 :].reshape(p, p) / m[0] - np.outer(mean, mean)) * k + np.diag(floors**2)
+        return out
+
+    def step(fit):
+        sums = {}
+        for g in x:
+            bins = np.floor(np.log2(distances(g, fit[g]) + 2.0**-20) * quality.BINS)
+            names, at, n = np.unique(bins, return_inverse=True, return_counts=True)
+            weight = np.clip((len(bins) * quality.ALPHA - (np.cumsum(n) - n)) / n, 0, 1)
+            sums[g] = moments(x[g], weight[at])
+        return fits(sums, scale)
+
+    def det(fit):
+        return round(np.log(np.diag(np.linalg.cholesky(fit[1]))).sum(), 6)
+
+    def median(v):
+        q = np.percentile(v, [25, 50, 75], axis=0)
+        return q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2 + floors**2)
+
+    whole = lambda names: moments(stack(names), np.ones(sum(len(x[h]) for h in names)))
+    starts = [
+        {g: median(x[g]) for g in x},
+        {g: median(stack(langs[g])) for g in x},
+        {g: median(stack(x)) for g in x},
+        fits({g: whole([g]) for g in x}, 1.0),
+    ]
+    lang_sums = {g: whole(langs[g]) for g in x}
+    # Their parents add up the same way: the moments of a language once for each of its groups.
+    starts.append(fits(lang_sums, 1.0))
+    starts = [step(step(s)) for s in starts]
+    fit = {g: min((s[g] for s in starts), key=det) for g in x}
+    for _ in range(quality.MAX_STEPS - 2):
+        now = step(fit)
+        done = all(abs(det(now[g]) - det(fit[g])) <= 1e-5 for g in x)
+        fit = now
+        if done:
             break
-        mark = now
-    z = x / 1000 - mean
-    return np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)
+    return {g: distances(g, fit[g]) for g in x}
 
 
 def test_mcd_matches_numpy_and_finds_outliers(spark):
+    """Groups of 400, 90, 7 and 1 rows in two languages, some rows far off."""
     r = np.random.default_rng(1)
     p = len(quality.FEATURES)
-    mixed = r.normal(size=(400, p)) @ r.normal(size=(p, p)) * 700
-    mixed[:60] += 9000
-    x = np.round(mixed).astype(int)
-    rows = [("en", "s", i % quality.SALTS, i, *map(int, v)) for i, v in enumerate(x)]
+    shape = r.normal(size=(p, p)) * 700
+    groups = {}
+    for name, n, off in ((("en", "s"), 400, 60), (("en", "t"), 90, 9), (("fr", "s"), 7, 1), (("fr", "u"), 1, 0)):
+        mixed = r.normal(size=(n, p)) @ shape
+        mixed[:off] += 9000
+        groups[name] = np.round(mixed).astype(int)
+    rows = [(*g, i % quality.SALTS, i, *map(int, v)) for g, x in groups.items() for i, v in enumerate(x)]
     schema = "lang string, source string, salt int, doc long, " + ", ".join(f"x_{i} long" for i in range(p))
     df = spark.createDataFrame(rows, schema)
-    got = {v.doc: v.d2 for v in quality._distance(df, quality.mcd(df)).collect()}
-    want = plain_mcd(x, np.array([f for _, f in quality.FEATURES.values()]))
-    ours = np.array([got[i] for i in range(400)])
-    assert np.allclose(ours, want, rtol=1e-6)
+    got = {(v.lang, v.source, v.doc): v.d2 for v in quality._distance(df, quality.mcd(df)).collect()}
+    want = plain_mcd(groups, np.array([f for _, f in quality.FEATURES.values()]))
     limit = quality.chi2_quantile(1 - quality.TAIL, p)
-    assert (ours[:60] > limit).all() and (ours[60:] <= limit).mean() > 0.98
+    for g, off in ((("en", "s"), 60), (("en", "t"), 9), (("fr", "s"), 1), (("fr", "u"), 0)):
+        ours = np.array([got[(*g, i)] for i in range(len(groups[g]))])
+        assert np.allclose(ours, want[g], rtol=1e-4)
+        assert (ours[:off] > limit).all() and (ours[off:] <= limit).mean() > 0.95
 
 
 def test_chi2():
