@@ -14,6 +14,7 @@ from palimpsest.llm import chat, packing, token_store
 from palimpsest.llm.common import new_dir, stash
 from pyspark.sql import functions as F
 from test_duplicates import plain_components, plain_fingerprint
+from test_similar import plain_groups
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -266,8 +267,8 @@ def test_chat_odd_rows(spark):
 def test_pipeline_stages(spark, odd, untidy, tmp_path):
     benchmark = [(1, " ".join((odd.where("doc_id = 12").first().text or "a b c d e f g h i j").split()[:12]))]
     spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    given = stash(untidy.select(*columns), "docs")
+    columns = untidy.columns  # with names that operators use themselves
+    given = stash(untidy, "docs")
     docs, seen = given, {}
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r for r in docs.collect()} if "text" in docs.columns else {}
@@ -280,7 +281,8 @@ def test_pipeline_stages(spark, odd, untidy, tmp_path):
     assert not {r.doc_id for r in after} & (failed - {11}) and len(after) > 20 and None not in {r.doc_id for r in after}
     before, after = seen["near_duplicates"]
     groups = plain_components({i: plain_fingerprint(r.text) for i, r in before.items()})
-    assert {r.doc_id for r in after} == set(groups.values())
+    left = set(groups.values())
+    assert {r.doc_id for r in after} == set(plain_groups([(i, r.text) for i, r in before.items() if i in left]).values())
     before, after = seen["benchmark_decontamination"]
     gram = [w.lower() for w in benchmark[0][1].split()]
     assert len(after) <= len(before) and all(" ".join(gram[:10]) not in " ".join((r.text or "").lower().split()) for r in after)
@@ -292,6 +294,13 @@ def test_pipeline_stages(spark, odd, untidy, tmp_path):
     assert check_packing(after, packing.N_BUCKETS, packing.TOKEN_BUDGET) == want
 
 
+def test_pipeline_of_nothing(spark, nothing, tmp_path):
+    """Empty tables, with columns whose names operators use themselves."""
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_pipeline_run(spark, odd, tmp_path):
     odd.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "not in any text at all, is it really so")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
