@@ -59,15 +59,21 @@ def stash(df: DataFrame, what: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
-    """Rows in an Arrow batch of the actions inside, at most; texts of some kB make large batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+def settings_of(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Session settings for the actions inside."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def arrow_rows(spark: SparkSession, n: int):
+    """Rows in an Arrow batch of the actions inside, at most; texts of some kB make large batches."""
+    return settings_of(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(n)})
 
 
 def drop(df: DataFrame) -> None:

@@ -4,7 +4,7 @@ Each document is encoded, its end id appended, and its ids are cut into chunks w
 hash over the last eight ids says so, so that equal passages give equal chunks.  The store has
 three Parquet tables under one folder:
 
-* ``chunks(digest, data)``: every distinct chunk once, under the SHA-256 of its bytes; ids are
+* ``parts/part=chunks(digest, data)``: every distinct chunk once, under the SHA-256 of its bytes; ids are
   little-endian, two bytes each if the vocabulary allows it, else four;
 * ``recipes(i, doc_id, start, n_tokens, recipe)`` in ascending doc_id order: which chunks make
   up the document, how many ids all documents before it have, and its rank;
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, documents, drop, give_back, new_dir, release, stash
+from .common import documents, drop, give_back, new_dir, release, settings_of, stash
 
 END_ID = 2
 MIN_IDS, AVERAGE_IDS, MAX_IDS = 64, 256, 1024
@@ -282,7 +282,8 @@ def cuts(ids: np.ndarray) -> list[int]:
     return fold(marks(ids).tolist(), len(ids))
 
 
-_STAGED = "doc_id long, n_tokens long, recipe array<binary>, new array<struct<digest:binary,data:binary>>"
+#: Rows of new chunks (without a document) and of documents (without a chunk), which travel together.
+_STAGED = "digest binary, data binary, doc_id long, n_tokens long, recipe array<binary>"
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -297,21 +298,20 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _stager(tokenizer_json, key: int, end_id: int, width: str):
-    """Rows of documents, with the chunks that are new in this task; those of a long text come
-    before it in rows without a doc_id."""
+    """Rows of the chunks that are new in this task, and of documents."""
 
-    def rows(docs: list, sizes: list, recipe: list, n_recipe: list, digests: list, new: list, n_new: list) -> pa.RecordBatch:
-        chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(new, pa.binary())], ["digest", "data"])
+    def chunk_rows(digests: list, new: list) -> pa.RecordBatch:
+        n = len(new)
         return pa.record_batch(
-            [
-                pa.array(docs, pa.int64()),
-                pa.array(sizes, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(n_recipe, pa.int32()), pa.array(recipe, pa.binary())),
-                pa.ListArray.from_arrays(pa.array(n_new, pa.int32()), chunks),
-            ],
-            ["doc_id", "n_tokens", "recipe", "new"],
+            [pa.array(digests, pa.binary()), pa.array(new, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(2)), pa.nulls(n, pa.list_(pa.binary()))],
+            _STAGED_NAMES,
         )
 
+    def document_rows(docs: pa.Array, sizes: np.ndarray, recipe: list, n_recipe: list) -> pa.RecordBatch:
+        recipes = pa.ListArray.from_arrays(pa.array(n_recipe, pa.int32()), pa.array(recipe, pa.binary()))
+        none = pa.nulls(len(sizes), pa.binary())
+        return pa.record_batch([none, none, docs, pa.array(sizes, pa.int64()), recipes], _STAGED_NAMES)
+
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(key)
         if encoder is None:
@@ -336,8 +336,7 @@ def _stager(tokenizer_json, key: int, end_id: int, width: str):
                 first = np.searchsorted(at, ends - sizes + WINDOW_IDS).tolist()
                 last = np.searchsorted(at, ends, "right").tolist()
                 data = memoryview(ids).cast("B")
-                recipe, n_recipe, new, n_new, digests = [], [0], [], [0], []
-                have = 0
+                recipe, n_recipe, new, digests, have = [], [0], [], [], 0
                 for start, size, a, b in zip((ends - sizes).tolist(), sizes.tolist(), first, last, strict=True):
                     done = start
                     for end in fold((at[a:b] - start).tolist(), size):
@@ -351,13 +350,14 @@ def _stager(tokenizer_json, key: int, end_id: int, width: str):
                             digests.append(digest)
                             new.append(chunk)
                             have += len(chunk)
-                            if have > 2 * _PART_BYTES and batch.num_rows == 1:
-                                yield rows([None], [None], [], [0, 0], digests, new, [0, len(new)])
+                            if have > _PART_BYTES:
+                                yield chunk_rows(digests, new)
                                 digests, new, have = [], [], 0
                         done = start + end
                     n_recipe.append(len(recipe))
-                    n_new.append(len(new))
-                yield rows(batch.column(0), sizes, recipe, n_recipe, digests, new, n_new)
+                if new:
+                    yield chunk_rows(digests, new)
+                yield document_rows(batch.column(0), sizes, recipe, n_recipe)
                 del ids, data, at, recipe, digests, new
             give_back()
 
@@ -370,19 +370,26 @@ def _forget() -> None:
     give_back()
 
 
+_STAGED_NAMES = ["digest", "data", "doc_id", "n_tokens", "recipe"]
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each digest; rows come sorted by digest."""
+    """Rows of documents as they are, and the first row of each digest; rows come sorted by
+    digest, those of documents first."""
     _forget()
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(batch.num_rows, 4)
-        keep = np.ones(len(rows), bool)
-        keep[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-        keep[0] = last is None or bool((rows[0] != last).any())
-        last = rows[-1]
-        yield batch.filter(pa.array(keep))
+        n = batch.column(0).null_count
+        keep = np.ones(batch.num_rows, bool)
+        if n < batch.num_rows:
+            rows = np.frombuffer(b"".join(batch.column(0)[n:].to_pylist()), np.uint64).reshape(-1, 4)
+            keep[n + 1 :] = (rows[1:] != rows[:-1]).any(axis=1)
+            keep[n] = last is None or bool((rows[0] != last).any())
+            last = rows[-1].copy()
+        kinds = pa.array(np.where(np.arange(batch.num_rows) < n, "documents", "chunks"))
+        yield pa.record_batch([*batch.columns, kinds], [*_STAGED_NAMES, "part"]).filter(pa.array(keep))
 
 
 def _ranger(bounds):
@@ -421,6 +428,18 @@ def _placer(before):
     return place
 
 
+def _part(spark: SparkSession, path: str, name: str) -> str:
+    """The folder of one kind of rows, made if no row was of it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/parts/part={name}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    return f"{path}/parts/part={name}"
+
+
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """``digest, data``: every distinct chunk of the store once."""
+    return spark.read.schema(_STAGED).parquet(_part(spark, path, "chunks")).select("digest", "data")
+
+
 def write(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, vocabulary: int | None = None
 ) -> None:
@@ -438,17 +457,16 @@ def write(
     width = "<u2" if max(vocabulary, end_id + 1) <= 65536 else "<u4"
     shipped = spark.sparkContext.broadcast((text, settings(text)))
     stager = _stager(shipped, zlib.crc32(text.encode()), end_id, width)
-    with arrow_rows(spark, 1000):
-        staged = stash(documents(docs).mapInArrow(stager, _STAGED), "staged")
-
-    new = staged.select(F.explode("new").alias("x")).select("x.digest", "x.data")
-    once = new.repartition("digest").sortWithinPartitions("digest").mapInArrow(_once, "digest binary, data binary")
-    once.write.option("compression", "zstd").parquet(f"{path}/chunks")
-    del new, once
-    release(spark)  # their shuffle files are as large as the ids
+    # One shuffle brings equal chunks together; documents are dealt out with them.
+    met = documents(docs).mapInArrow(stager, _STAGED).repartition(F.coalesce("digest", F.col("doc_id").cast("string").cast("binary")))
+    met = met.sortWithinPartitions("digest").mapInArrow(_once, f"{_STAGED}, part string")
+    with settings_of(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.maxConcurrentOutputFileWriters": "2"}):
+        met.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/parts")
+    del met
+    release(spark)  # its shuffle files are as large as the ids
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = staged.where("doc_id IS NOT NULL")
+    ids = spark.read.schema(_STAGED).parquet(_part(spark, path, "documents"))
     # Any bounds are right; these make even ranges.  A sketch of fixed size comes to the driver.
     bounds = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
     ranger = _ranger(spark.sparkContext.broadcast(np.unique(np.array(bounds, np.float64).astype(np.int64))))
@@ -464,7 +482,7 @@ def write(
         _placer(shipped), "i long, doc_id long, start long, n_tokens long, recipe array<binary>"
     )
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    drop(staged)
+    drop(ids)
     merkle(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
@@ -574,7 +592,7 @@ def verify(spark: SparkSession, path: str) -> None:
 
 def read_sums(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files of the store."""
-    sums = stash(spark.read.parquet(f"{path}/chunks").mapInArrow(_summer(width), "digest binary, n int, crc long"), "sums")
+    sums = stash(chunks(spark, path).mapInArrow(_summer(width), "digest binary, n int, crc long"), "sums")
     recipes = spark.read.parquet(f"{path}/recipes")
     refs = recipes.select("doc_id", "start", "n_tokens", F.posexplode("recipe").alias("pos", "digest"))
     met = refs.join(sums, "digest", "left").select(
@@ -587,7 +605,7 @@ def read_sums(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
 def reconstruct(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
     """``doc_id, ids array<int>`` of every document, rebuilt from recipes and chunks."""
     refs = spark.read.parquet(f"{path}/recipes").select("doc_id", F.posexplode("recipe").alias("pos", "digest"))
-    met = refs.join(spark.read.parquet(f"{path}/chunks"), "digest")
+    met = refs.join(chunks(spark, path), "digest")
     each = met.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "data"))).alias("p"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,7 +169,7 @@ def test_store_round_trip(spark, odd, untidy, nothing, docs_rows):
     token_store.verify(spark, path)
     assert {r.doc_id: tuple(r)[1:] for r in token_store.read_sums(spark, path).collect()} == want
     assert {r.doc_id: r.ids for r in token_store.reconstruct(spark, path).collect()} == {x[0]: i for x, i in zip(docs_rows, ids)}
-    chunks = spark.read.parquet(f"{path}/chunks")
+    chunks = token_store.chunks(spark, path)
     assert chunks.count() == chunks.select("digest").distinct().count()
     got = token_store.report(untidy, public_tokenizers.path("word_bpe_49k.json"))
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == want
@@ -179,9 +179,9 @@ def test_store_round_trip(spark, odd, untidy, nothing, docs_rows):
 def test_store_finds_damage(spark, odd):
     path = new_dir(spark, "test-store")
     token_store.write(odd, path, public_tokenizers.path("word_bpe_49k.json"))
-    chunks = stash(spark.read.parquet(f"{path}/chunks"), "copy")
+    chunks = stash(token_store.chunks(spark, path), "copy")
     broken = chunks.withColumn("data", F.when(F.col("digest") == chunks.agg(F.min("digest")).first()[0], F.lit(b"\1\0")).otherwise(F.col("data")))
-    broken.write.mode("overwrite").parquet(f"{path}/chunks")
+    broken.write.mode("overwrite").parquet(f"{path}/parts/part=chunks")
     with pytest.raises(Exception, match="does not have its digest"):
         token_store.read_sums(spark, path).collect()
     recipes = stash(spark.read.parquet(f"{path}/recipes"), "copy")
@@ -193,8 +193,8 @@ def test_store_finds_damage(spark, odd):
 def test_store_refuses_a_missing_chunk(spark, odd):
     path = new_dir(spark, "test-store")
     token_store.write(odd, path, public_tokenizers.path("word_bpe_49k.json"))
-    chunks = stash(spark.read.parquet(f"{path}/chunks"), "copy")
-    chunks.where(F.col("digest") != chunks.agg(F.min("digest")).first()[0]).write.mode("overwrite").parquet(f"{path}/chunks")
+    chunks = stash(token_store.chunks(spark, path), "copy")
+    chunks.where(F.col("digest") != chunks.agg(F.min("digest")).first()[0]).write.mode("overwrite").parquet(f"{path}/parts/part=chunks")
     with pytest.raises(Exception, match="missing"):
         token_store.read_sums(spark, path).collect()
 
