@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.blake3 import blake3, tree_root
 from palimpsest.functions.constants import IDENTITY_CHUNK
 from palimpsest.operators import apply, delta, inspect, verify
-from palimpsest.operators.journal import Journal
+from palimpsest.operators.journal import Fold, Journal, is_entry_safe
 from palimpsest.sources import container
 from palimpsest.sources.container import ContainerSource, File, Header
 from palimpsest.sources.ranges import ByteRanges, stable_open
@@ -141,6 +141,7 @@ def apply_patch(spark: SparkSession, path: str, root: str, direction: str = "for
     Every rebuilt file must have its root digest before any is replaced; replacements are
     recorded in a journal, and undone in reverse order if one fails.
     """
+    recover(root)
     header, _ = container.open_container(path)
     if direction == "reverse" and not header.reverse:
         raise ValueError("the patch has no reverse windows")
@@ -175,6 +176,34 @@ def apply_patch(spark: SparkSession, path: str, root: str, direction: str = "for
     return [f.path for f in files]
 
 
+def recover(root: str) -> int:
+    """Finish or undo the commits under ``root`` that were interrupted; returns how many there were.
+
+    After a commit record backups go; before it, what has a backup is restored from it, entries
+    from the last to the first, and temporary files go.  A journal that breaks the rules, or names
+    files outside of its entries' folders, is an error, and nothing is done.
+    """
+    names = sorted(x for x in os.listdir(root) if x.startswith(".journal-"))
+    for name in names:
+        log, fold = os.path.join(root, name), Fold()
+        for record in Journal.read(log):
+            fold.add(record)
+        entries = fold.known["entries"]
+        if not entries or not all(is_entry_safe(e) for e in entries):
+            raise ValueError(f"{name} is not a journal that can be recovered")
+        at = lambda e, c: os.path.join(root, e[c])
+        for e in entries if fold.known["committed"] else reversed(entries):
+            if os.path.lexists(at(e, "backup")):
+                if fold.known["committed"]:
+                    os.unlink(at(e, "backup"))
+                else:
+                    os.replace(at(e, "backup"), at(e, "path"))
+            if os.path.lexists(at(e, "temp")):
+                os.unlink(at(e, "temp"))
+        os.unlink(log)
+    return len(names)
+
+
 def commit(root: str, replacements: list[tuple[str, str]]) -> None:
     """Replace files by their temporaries, with a journal; undo all if one fails."""
     entries = [{"path": p, "temp": t, "backup": os.path.join(os.path.dirname(p), f".bak-{uuid.uuid4().hex}")} for p, t in replacements]

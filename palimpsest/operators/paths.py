@@ -89,11 +89,18 @@ def pairs_from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pair_lists_ok(lists: DataFrame) -> DataFrame:
-    """``list_id, n, ok`` of JSON texts in ``lists(list_id, text)``: the strict rules as
-    expressions, for many lists at once."""
-    rows = F.from_json("text", "array<map<string,string>>", {"mode": "PERMISSIVE"})
-    given = lists.select("list_id", rows.alias("rows"))
+    """``list_id, n, ok`` of JSON texts in ``lists(list_id, text)``: the rules of
+    ``parse_pair_list`` as expressions, for many lists at once (a key given twice is an error
+    here).
+
+    The parser stops after the first value, so each text stands before a key that it can't
+    contain, its own hash; what follows the list would keep the parser from that key.
+    """
+    mark = F.sha2("text", 256)
+    given = lists.select("list_id", mark.alias("mark"), F.concat(F.lit('{"v":'), "text", F.lit(',"'), mark, F.lit('":1}')).alias("text"))
+    given = given.select("list_id", "mark", F.expr("try_variant_get(try_parse_json(text), '$', 'map<string,variant>')").alias("m"))
+    given = given.select("list_id", F.expr("map_contains_key(m, mark) AND size(m) = 2").alias("whole"), F.expr("try_variant_get(m['v'], '$', 'array<variant>')").alias("rows"))
     good = F.expr("""
-        rows IS NOT NULL AND size(rows) > 0 AND forall(rows, r -> r IS NOT NULL AND size(r) = 2
-          AND trim(coalesce(r['source'], '')) <> '' AND trim(coalesce(r['target'], '')) <> '')""")
-    return given.select("list_id", F.when(good, F.size("rows")).otherwise(0).cast("long").alias("n"), F.coalesce(good, F.lit(False)).alias("ok"))
+        coalesce(whole AND size(rows) > 0 AND forall(rows, r -> schema_of_variant(r) = 'OBJECT<source: STRING, target: STRING>'
+          AND trim(try_variant_get(r, '$.source', 'string')) <> '' AND trim(try_variant_get(r, '$.target', 'string')) <> ''), false)""")
+    return given.select("list_id", F.when(good, F.size("rows")).otherwise(0).cast("long").alias("n"), good.alias("ok"))

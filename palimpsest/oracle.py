@@ -238,23 +238,28 @@ fold AS (
 SELECT patch_id, CAST(file_idx AS INTEGER) AS file_idx, n_bands, kept FROM fold
 """
 
-#: Journals as flat rows: (journal, seq, version, kind, state, entry, path, temp, backup); a
-#: snapshot has a row for each of its entries.
-_FLAT = [
-    (j, seq, version, kind, e[3], k, *e[:3])
-    for j, seq, version, kind, _, _, entries in fx.JOURNALS
-    if entries
-    for k, e in enumerate(entries)
-] + [(j, seq, version, kind, state, entry, None, None, None) for j, seq, version, kind, state, entry, entries in fx.JOURNALS if not entries]
-
+#: The fold of journals, one record after the other: ``st`` has the state of each entry, ``ver`` the
+#: version of the last snapshot, ``bad`` the first record that may not follow.
 JOURNAL = f"""
-WITH j AS (SELECT * FROM {_values(_FLAT, 'journal, seq, version, kind, state, entry, path, temp, backup')}),
-snap AS (SELECT * FROM j WHERE kind = 'snapshot' AND version <= 2),
-moved AS (SELECT journal, entry, arg_max(state, seq) AS state FROM j
-  WHERE kind = 'entry' AND version <= 2 AND state IN ('prepared', 'backed-up', 'replaced') GROUP BY 1, 2),
-done AS (SELECT journal, bool_or(kind = 'commit') AS committed FROM j WHERE version <= 2 GROUP BY 1),
-replayed AS (SELECT s.journal, s.entry, s.path, coalesce(m.state, s.state) AS state, d.committed
-  FROM snap s LEFT JOIN moved m USING (journal, entry) JOIN done d USING (journal))
+WITH RECURSIVE r AS ({fx.JOURNAL_RECORDS.replace("{seqs}", "(SELECT o_orderkey, unnest(range(8)) AS seq FROM orders)")}),
+q AS (SELECT *, row_number() OVER (PARTITION BY journal ORDER BY seq) AS i FROM r),
+fold AS (
+  SELECT DISTINCT journal, CAST(0 AS BIGINT) AS i, 0 AS ver, CAST([] AS VARCHAR[]) AS st, false AS done, CAST(NULL AS BIGINT) AS bad FROM r
+  UNION ALL
+  SELECT journal, i, CASE WHEN op = 'S' THEN version ELSE ver END,
+    CASE WHEN op = 'S' THEN list_transform(range(n_entries), lambda x: entry_state)
+      WHEN op = 'E' THEN list_concat(list_concat(st[1:entry - 1], [state]), st[entry + 1:]) ELSE st END,
+    CASE WHEN op = 'S' THEN state = 'committed' WHEN op = 'C' THEN true ELSE done END,
+    CASE WHEN op = 'X' THEN seq END
+  FROM (SELECT f.journal, q.i, q.version, q.state, q.entry, q.n_entries, q.entry_state, q.seq, f.ver, f.st, f.done,
+      CASE WHEN q.n_entries > 0 AND q.entry = 0 AND (q.version = 1 AND q.kind = '' OR q.version = 2 AND q.kind = 'snapshot') THEN 'S'
+        WHEN q.version <> 2 OR f.ver <> 2 OR q.n_entries > 0 THEN 'X'
+        WHEN q.kind = 'entry' AND q.entry >= 1 AND q.entry <= len(f.st) AND (f.st[q.entry] || '>' || q.state) IN ('prepared>backed-up', 'backed-up>replaced') THEN 'E'
+        WHEN q.kind = 'commit' AND q.entry = 0 AND q.state = '' AND len(list_filter(f.st, lambda x: x <> 'replaced')) = 0 THEN 'C'
+        ELSE 'X' END AS op
+    FROM fold f JOIN q ON q.journal = f.journal AND q.i = f.i + 1 WHERE f.bad IS NULL)),
+ended AS (SELECT journal, max(bad) AS bad, arg_max(st, i) AS st, arg_max(done, i) AS done FROM fold GROUP BY journal),
+replayed AS (SELECT journal, unnest(range(1, len(st) + 1)) AS entry, unnest(st) AS state, done AS committed, len(st) AS n FROM ended WHERE bad IS NULL)
 """
 
 PREFLIGHT = f"""
@@ -341,11 +346,12 @@ SELECT lower(path) AS collision_key, count(*) AS n, min(path) AS first_path FROM
     "common_base": """
 WITH n AS (SELECT n_regionkey, 'world/r' || (n_regionkey % 3) || '/' || CASE WHEN n_regionkey % 2 = 0 THEN 'all' ELSE n_name END AS folder, n_name FROM nation)
 SELECT n_regionkey, CASE WHEN count(DISTINCT folder) = 1 THEN min(folder) ELSE 'world/r' || (n_regionkey % 3) END AS base FROM n GROUP BY n_regionkey""",
+    # DuckDB takes a comma before a closing bracket, which JSON does not have.
     "pair_lists": f"""
-WITH t AS (SELECT list_id, CASE WHEN json_valid(text) THEN CAST(text AS JSON) END AS j FROM {_values(fx.PAIR_LISTS, 'list_id, text')}),
+WITH t AS (SELECT list_id, CASE WHEN json_valid(text) AND NOT regexp_matches(text, ',[ ]*[]}}]') THEN CAST(text AS JSON) END AS j FROM {_values(fx.PAIR_LISTS, 'list_id, text')}),
 x AS (SELECT list_id, CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) ELSE [] END AS items FROM t),
 y AS (SELECT list_id, len(items) AS n, len(list_filter(items, lambda r: json_type(r) = 'OBJECT' AND len(json_keys(r)) = 2
-    AND trim(coalesce(r->>'source', '')) <> '' AND trim(coalesce(r->>'target', '')) <> '')) AS good FROM x)
+    AND json_type(r, '$.source') = 'VARCHAR' AND json_type(r, '$.target') = 'VARCHAR' AND trim(coalesce(r->>'source', '')) <> '' AND trim(coalesce(r->>'target', '')) <> '')) AS good FROM x)
 SELECT list_id, CAST(CASE WHEN n > 0 AND good = n THEN n ELSE 0 END AS BIGINT) AS n, n > 0 AND good = n AS ok FROM y""",
     "preflight": PREFLIGHT,
     "create_estimate": f"""
@@ -375,13 +381,13 @@ g AS (SELECT file_id, count(*) AS n, string_agg(d, ',' ORDER BY chunk_idx) AS ds
 SELECT p.pair_id AS file_id, CAST(length(p.t) // 2 AS BIGINT) AS size, coalesce(g.n, 0) AS n_chunks,
   sha256('PLMP-SHA256-TREE-V1|' || (length(p.t) // 2) || '|1024|' || coalesce(g.n, 0) || '|' || coalesce(g.ds, '')) AS root
 FROM pairs p LEFT JOIN g ON g.file_id = p.pair_id""",
-    "journal_states": f"{JOURNAL} SELECT journal, entry, path, state, committed FROM replayed",
+    "journal_audit": f"{JOURNAL} SELECT CAST(journal AS VARCHAR) AS journal, bad IS NULL AS valid, CAST(bad AS INTEGER) AS error_seq FROM ended",
+    "journal_states": f"{JOURNAL} SELECT CAST(journal AS VARCHAR) AS journal, entry, 'd' || entry || '/f' AS path, state, committed FROM replayed",
     "journal_recovery": f"""{JOURNAL}
-SELECT journal, entry, path, CASE WHEN committed THEN 'remove-backup' WHEN state IN ('backed-up', 'replaced') THEN 'restore-backup' ELSE 'remove-temp' END AS action
-FROM replayed""",
-    "journal_safety": f"""{JOURNAL}, f AS (SELECT journal, entry, regexp_replace(path, '[^/]*$', '') AS d, temp, backup FROM snap)
-SELECT journal, entry, starts_with(temp, d || '.tmp-') AND strpos(substr(temp, length(d) + 1), '/') = 0
-  AND starts_with(backup, d || '.bak-') AND strpos(substr(backup, length(d) + 1), '/') = 0 AS safe FROM f""",
-    "kind_rollup": f"""WITH {windows(SMALL)}
-SELECT edit, kind, CAST(sum(size) AS BIGINT) AS n_bytes, CAST(grouping(edit, kind) AS BIGINT) AS level FROM kinds GROUP BY ROLLUP (edit, kind)""",
+SELECT CAST(journal AS VARCHAR) AS journal, entry, 'd' || entry || '/f' AS path,
+  CASE WHEN committed THEN 'remove-backup' WHEN (journal + entry) % 4 <> 0 THEN 'restore-backup' ELSE 'remove-temp' END AS action,
+  CAST(n - entry AS BIGINT) AS turn FROM replayed""",
+    "journal_safety": f"""{JOURNAL}
+SELECT CAST(journal AS VARCHAR) AS journal, CAST(seq AS INTEGER) AS seq, entry, NOT (journal % 5 = 0 AND entry = 2) AS safe
+FROM (SELECT journal, seq, unnest(range(1, n_entries + 1)) AS entry FROM r)""",
 }

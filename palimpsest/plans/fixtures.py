@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MIB = 1 << 20
 
@@ -52,11 +53,20 @@ PATHS = [
     "bin/game.exe", "a", "a/b/c.txt", "", "/abs", "a//b", "a/", "./a", "a/../b", "..", ".", "a\\b", "a:b", "dir /x", "dir./x", "x.", "x ",
     "é/ü.txt", "a/.hidden", "...", "a/.../b", "CON:1",
 ]
-PAIR_LISTS = [
-    (1, '[{"source":"a","target":"b"}]'), (2, "[]"), (3, '[{"source":"a"}]'), (4, '[{"source":"a","target":"b","extra":"c"}]'),
-    (5, '{"source":"a","target":"b"}'), (6, '[{"source":" ","target":"b"}]'), (7, '[{"source":"a","target":"b"},{"source":"c","target":"d"}]'),
-    (8, "nonsense"), (9, '[{"source":"a","target":null}]'),
-]
+def _pair_lists() -> list[tuple[int, str]]:
+    """Lists from a small grammar: every value form on either side, keys missing or too many, and
+    what may stand around a list."""
+    values = ['"x/y"', '" "', '""', "7", "null", '["x"]', '{"x":"y"}', "true", '"ü]"']
+    objects = [f'{{"source":{a},"target":{b}}}' for a in values for b in values]
+    objects += ['{"source":"p"}', '{"target":"p"}', "{}", '{"source":"p","target":"q","more":1}', '{"source":"p","goal":"q"}', '"p"', "5", "null", "[]"]
+    good = '{"target":"q","source":"p"}'
+    lists = [f"[{x}]" for x in objects] + [f"[{good}, {x}]" for x in objects] + [f"[{x},{good}]" for x in objects[::7]]
+    around = ["{}", " {} ", "{} []", "{} x", "{}]", "{}] [", "{}, {}", "[{}]", "{},", "x{}", '{}"', '{},"v":1}}', "{}{}"]
+    lists += [w.replace("{}", f"[{good}]") for w in around] + ["[]", "", " ", "nonsense", good, f"[{good},]", f"[{good}", '"a"', "[[]]"]
+    return list(enumerate(lists))
+
+
+PAIR_LISTS = _pair_lists()
 #: (file, size) and (file, kind, source offset, source size).
 PLAN_FILES = [(1, 64 * MIB), (2, 64 * MIB), (3, 32 * MIB), (4, 16 * MIB), (5, 0), (6, 40 * MIB + 77)]
 PLAN_WINDOWS = [
@@ -67,17 +77,42 @@ PLAN_WINDOWS = [
     (6, "DELTA_RAW", 40 * MIB, 77), (6, "DELTA_RAW", 3 * MIB - 5, 300000), (6, "DELTA_RAW", 3 * MIB - 5, 300000),
 ]
 FINE_TABLES = [("p", 0, (1 << 19) - 1), ("p", 1, 2), ("p", 2, 1), ("q", 0, 5), ("q", 1, 1 << 19), ("q", 2, 7), ("r", 0, 1 << 20)]
-_E = [("a/x", "a/.tmp-1", "a/.bak-1"), ("b", ".tmp-2", ".bak-2"), ("c/d/y", "c/d/.tmp-3", "c/.bak-3")]
-#: (journal, seq, version, kind, state, entry, entries).
-JOURNALS = [
-    ("open", 0, 2, "snapshot", None, None, [(*e, "prepared") for e in _E]), ("open", 1, 2, "entry", "backed-up", 0, None),
-    ("open", 2, 2, "entry", "replaced", 0, None), ("open", 3, 2, "entry", "backed-up", 1, None),
-    ("done", 0, 2, "snapshot", None, None, [(*e, "prepared") for e in _E[:2]]), ("done", 1, 2, "entry", "backed-up", 0, None),
-    ("done", 2, 2, "entry", "replaced", 0, None), ("done", 3, 2, "entry", "replaced", 1, None), ("done", 4, 2, "commit", None, None, None),
-    ("legacy", 0, 1, "snapshot", None, None, [(*_E[0], "backed-up"), (*_E[1], "replaced")]),
-    ("strange", 0, 2, "snapshot", None, None, [(*_E[0], "prepared")]), ("strange", 1, 2, "entry", "unknown", 0, None),
-    ("strange", 2, 9, "commit", None, None, None), ("strange", 3, 2, "entry", "backed-up", 7, None),
-]
+#: Journals of one commit for each order: ``n`` entries that are backed up and replaced one after
+#: the other and then committed, cut off anywhere, most with one record that breaks a rule.  The
+#: entries of a snapshot follow from ``n_entries`` and ``entry_state``.  For Spark and DuckDB alike;
+#: ``{seqs}`` makes a row for each of 0 to 7.
+JOURNAL_RECORDS = """
+SELECT j AS journal, seq,
+  CASE WHEN seq = 0 AND m IN (8, 9) THEN 1 WHEN seq = 1 AND m = 6 THEN 9 ELSE 2 END AS version,
+  CASE WHEN seq = 0 AND m = 9 THEN '' WHEN seq = 0 OR (seq = 2 AND m = 11) THEN 'snapshot' WHEN seq = 3 AND m = 10 THEN 'rename'
+    WHEN seq = 2 * n + 1 OR (seq = 2 AND m = 5) THEN 'commit' ELSE 'entry' END AS kind,
+  CASE WHEN seq = 0 THEN 'prepared' WHEN seq = 2 * n + 1 OR (seq = 2 AND m IN (5, 11)) THEN '' WHEN seq = 2 AND m = 4 THEN 'unknown'
+    WHEN seq % 2 = 1 AND NOT (seq = 1 AND m = 1) THEN 'backed-up' ELSE 'replaced' END AS state,
+  CASE WHEN seq = 0 AND m = 7 THEN 5 WHEN seq = 3 AND m = 3 THEN n + 1 WHEN seq = 0 OR seq = 2 * n + 1 OR (seq = 2 AND m IN (2, 5, 11)) THEN 0
+    ELSE CAST(floor((seq + 1) / 2.0) AS BIGINT) END AS entry,
+  CASE WHEN seq = 0 OR (seq = 2 AND m = 11) THEN n ELSE 0 END AS n_entries,
+  CASE WHEN seq = 0 AND m <> 9 THEN 'prepared' WHEN j % 2 = 0 THEN 'replaced' ELSE 'backed-up' END AS entry_state
+FROM (SELECT o_orderkey AS j, 1 + o_orderkey % 3 AS n, o_orderkey % 13 AS m, seq FROM {seqs}) x
+WHERE seq <= 2 * n + 1 AND seq <= j % 11 AND NOT (seq = 0 AND m = 12)
+"""
+
+
+def journal(spark: SparkSession, orders: DataFrame) -> DataFrame:
+    """``JOURNAL_RECORDS`` with the entries of snapshots."""
+    numbered = orders.select("o_orderkey", F.explode(F.expr("sequence(0L, 7L)")).alias("seq"))
+    flat = spark.sql(JOURNAL_RECORDS.replace("{seqs}", "{numbered}"), numbered=numbered)
+    entries = F.expr("""
+        CASE WHEN n_entries > 0 THEN transform(sequence(1, n_entries), k -> named_struct(
+          'path', concat('d', k, '/f'), 'temp', concat('d', k, '/.tmp-', k),
+          'backup', concat(CASE WHEN journal % 5 = 0 AND k = 2 THEN 'x' ELSE concat('d', k) END, '/.bak-', k), 'state', entry_state)) END""")
+    return flat.select(F.col("journal").cast("string").alias("journal"), F.col("seq").cast("int").alias("seq"), F.col("version").cast("int").alias("version"), "kind", "state", F.col("entry").cast("long").alias("entry"), entries.alias("entries"))
+
+
+def backups(orders: DataFrame) -> DataFrame:
+    """``journal, path`` of the backups that exist."""
+    of = orders.select(F.col("o_orderkey").alias("j"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).where("(j + k) % 4 <> 0")
+    name = F.expr("concat(CASE WHEN j % 5 = 0 AND k = 2 THEN 'x' ELSE concat('d', k) END, '/.bak-', k)")
+    return of.select(F.col("j").cast("string").alias("journal"), name.alias("path"))
 
 
 def audit_windows(spark: SparkSession) -> DataFrame:
@@ -120,12 +155,6 @@ def fine_tables(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FINE_TABLES, "patch_id string, file_idx int, n_bands long")
 
 
-def journal(spark: SparkSession) -> DataFrame:
-    from palimpsest.operators.journal import SCHEMA
-
-    return spark.createDataFrame(JOURNALS, SCHEMA)
-
-
 def sql_values(rows: list[tuple], names: str) -> str:
     """Rows as a SQL table expression."""
     def literal(x: object) -> str:

@@ -277,17 +277,26 @@ def blake3_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.select("doc_id", F.lower(F.hex(verify.blake3_256("b"))).alias("digest"))
 
 
+def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.journal(spark, spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def journal_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal.audit(_journal(spark, sf_dir))
+
+
 def journal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.replay(fixtures.journal(spark)).select("journal", "entry", "path", "state", "committed")
+    return journal.replay(_journal(spark, sf_dir)).select("journal", "entry", "path", "state", "committed")
 
 
 def journal_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.recovery(fixtures.journal(spark))
+    return journal.recovery(_journal(spark, sf_dir), fixtures.backups(spark.read.parquet(f"{sf_dir}/orders.parquet")))
 
 
 def journal_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.journal(spark).where("kind = 'snapshot'").select("journal", F.posexplode("entries").alias("entry", "e")).select("journal", F.col("entry").cast("long").alias("entry"), "e.*")
-    return rows.select("journal", "entry", journal.entry_safe("path", "temp", "backup").alias("safe"))
+    rows = _journal(spark, sf_dir).where("entries IS NOT NULL").select("journal", "seq", F.posexplode("entries").alias("entry", "e"))
+    rows = rows.select("journal", "seq", (F.col("entry") + 1).cast("long").alias("entry"), "e.*")
+    return rows.select("journal", "seq", "entry", journal.entry_safe("path", "temp", "backup").alias("safe"))
 
 
 def kind_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,6 +347,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "band_verification": band_verification,
     "tree_roots": tree_roots,
     "blake3_digests": blake3_digests,
+    "journal_audit": journal_audit,
     "journal_states": journal_states,
     "journal_recovery": journal_recovery,
     "journal_safety": journal_safety,

@@ -9,15 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palimpsest.operators.journal import STATES
+from palimpsest.operators.journal import Fold
 
-OUTPUT = "journal string, entry long, path string, state string, committed boolean"
+OUTPUT = "journal string, entry long, path string, state string, committed boolean, valid boolean"
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Records of one journal in order of ``seq``; the state is what is known so far, and records
     that come before their snapshot, or out of order, wait in it."""
-    known = json.loads(state.get[0]) if state.exists else {"next": 0, "entries": [], "committed": False, "waiting": {}}
+    known = json.loads(state.get[0]) if state.exists else {"next": 0, "bad": False, "fold": Fold().known, "waiting": {}}
     for batch in batches:
         for r in batch.to_dict("records"):
             entries = r["entries"]
@@ -30,21 +30,20 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             }
     while (record := known["waiting"].pop(str(known["next"]), None)) is not None:
         known["next"] += 1
-        if record["version"] > 2:
-            continue
-        if record["kind"] == "snapshot":
-            known["entries"] = record["entries"]
-        elif record["kind"] == "commit":
-            known["committed"] = True
-        elif record["kind"] == "entry" and record["state"] in STATES and 0 <= record["entry"] < len(known["entries"]):
-            known["entries"][record["entry"]]["state"] = record["state"]
+        if not known["bad"]:
+            try:
+                Fold(known["fold"]).add(record)
+            except ValueError:
+                known["bad"] = True
     state.update((json.dumps(known),))
-    rows = [(key[0], i, e["path"], e["state"], known["committed"]) for i, e in enumerate(known["entries"])]
-    yield pd.DataFrame(rows, columns=["journal", "entry", "path", "state", "committed"])
+    fold = known["fold"]
+    rows = [(key[0], i, e["path"], e["state"], fold["committed"], not known["bad"]) for i, e in enumerate(fold["entries"], 1)]
+    yield pd.DataFrame(rows, columns=["journal", "entry", "path", "state", "committed", "valid"])
 
 
 def replay_stream(records: DataFrame) -> DataFrame:
-    """After each batch, the state of every entry of the journals that it had records of.
+    """After each batch, the state of every entry of the journals that it had records of; a journal
+    with a record that may not follow is not ``valid`` any more, and stays as it was before it.
 
     ``records`` is a stream with the columns of ``operators.journal.SCHEMA``.
     """

@@ -6,7 +6,8 @@ from palimpsest.streaming.journals import replay_stream
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = fixtures.journal(spark)
+    orders = spark.range(1, 150).withColumnRenamed("id", "o_orderkey")
+    rows = fixtures.journal(spark, orders).where("journal NOT IN (SELECT CAST(id AS STRING) FROM range(150) WHERE id % 13 = 12)").cache()
     for part, which in enumerate(("seq % 2 = 1", "seq % 2 = 0")):  # late records first
         rows.where(which).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={part}"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
@@ -15,6 +16,6 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     last = {}
     for r in spark.table("journals").collect():
-        last[r.journal, r.entry] = (r.path, r.state, r.committed)
+        last[r.journal, r.entry] = (r.path, r.state, r.committed, r.valid)
     want = {(r.journal, r.entry): (r.path, r.state, r.committed) for r in journal.replay(rows).collect()}
-    assert last == want
+    assert {k: v[:3] for k, v in last.items() if v[3]} == want and len(want) > 50 and any(not v[3] for v in last.values())
