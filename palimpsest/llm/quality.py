@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -257,6 +257,7 @@ def mcd(rows: DataFrame) -> DataFrame:
         estimate = stash(_concentrate(rows, estimate, scale), "mcd")
     best = F.min_by(F.struct(*(c for c in estimate.columns if c not in ("lang", "source"))), F.struct("det", "start"))
     estimate = estimate.groupBy("lang", "source").agg(best.alias("best")).select("lang", "source", "best.*")
+    release(rows.sparkSession)
     # The fits that go on share their parents from here on, wherever they started.
     estimate = stash(estimate.withColumn("start", F.lit(0)), "mcd")
     for _ in range(MAX_STEPS - 2):
