@@ -4,7 +4,7 @@ For each language and source the minimum-covariance-determinant (MCD) estimate o
 scatter is fitted to transformed statistics of its documents, and a document is rejected if its
 squared Mahalanobis distance exceeds the chi-square cutoff.  The fit is deterministic: several
 starts (``STARTS``) take two concentration steps each, the start of least determinant goes on,
-and steps are taken until no determinant falls any more.  A step keeps the ``ALPHA`` share of
+and steps are taken until the determinants stand still (``TOLERANCE``).  A step keeps the ``ALPHA`` share of
 documents nearest to the last estimate and estimates from them alone.
 
 Groups of every size are treated alike: each estimate counts ``PRIOR`` further documents, which
@@ -40,8 +40,10 @@ PRIOR = 50
 #: means and scatter of the group and of its language.
 STARTS = ("median", "language median", "overall median", "mean", "language mean")
 BINS = 64
-#: Steps after which a fit that still changes (in the sixth digit of a determinant) is taken as it is.
-MAX_STEPS = 40
+#: A fit has ended when no logarithm of a determinant's root changes by more; it is taken as it is
+#: after ``MAX_STEPS`` steps.
+TOLERANCE = 1e-3
+MAX_STEPS = 20
 SALTS = 32
 #: Statistic: SQL over the base columns, and the least standard deviation that a group is
 #: taken to have, in the same unit.  The last two are zero for most documents: as shares, not
@@ -263,7 +265,7 @@ def mcd(rows: DataFrame) -> DataFrame:
     for _ in range(MAX_STEPS - 2):
         before = estimate.select("lang", "source", F.col("det").alias("last"))
         estimate = stash(_concentrate(rows, estimate, scale), "mcd")
-        if estimate.join(before, ["lang", "source"]).where(F.abs(F.col("det") - F.col("last")) > 1e-5).isEmpty():
+        if estimate.join(before, ["lang", "source"]).where(F.abs(F.col("det") - F.col("last")) > TOLERANCE).isEmpty():
             break
     return estimate
 

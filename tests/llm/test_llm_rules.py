@@ -136,7 +136,7 @@ def plain_mcd(groups, floors):
     fit = {g: min((s[g] for s in starts), key=det) for g in x}
     for _ in range(quality.MAX_STEPS - 2):
         now = step(fit)
-        done = all(abs(det(now[g]) - det(fit[g])) <= 1e-5 for g in x)
+        done = all(abs(det(now[g]) - det(fit[g])) <= quality.TOLERANCE for g in x)
         fit = now
         if done:
             break
