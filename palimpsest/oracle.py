@@ -23,12 +23,12 @@ pairs AS (
 """
 
 
-def windows(w: int, where: str = "true") -> str:
+def windows(w: int) -> str:
     return f"""
 {PAIRS},
 cut AS (
   SELECT pair_id, edit, length(s) // 2 AS m, length(t) // 2 AS n, s, t, i AS window_idx, i * {w} AS off
-  FROM (SELECT *, unnest(range(0, (length(t) // 2 + {w - 1}) // {w})) AS i FROM pairs WHERE {where})),
+  FROM (SELECT *, unnest(range(0, (length(t) // 2 + {w - 1}) // {w})) AS i FROM pairs)),
 sized AS (SELECT *, least({w}, n - off) AS size FROM cut),
 win AS (
   SELECT pair_id, edit, window_idx, off, size, m,
@@ -48,7 +48,7 @@ AUTO = """CASE WHEN size < 1048576 THEN 262144 WHEN size <= 16777216 THEN 524288
   WHEN size <= 1073741824 THEN 2097152 ELSE 4194304 END"""
 
 RUNS = f"""
-{windows(SMALL, 'edit = 1')},
+{windows(SMALL)},
 bytes AS (
   SELECT pair_id, window_idx, off, span_offset, tw, i, substr(tw, 2 * i + 1, 2) = substr(sw, 2 * i + 1, 2) AS same
   FROM (SELECT *, unnest(range(0, size)) AS i FROM kinds WHERE kind = 'CHANGED' AND sw IS NOT NULL)),
@@ -118,7 +118,7 @@ def chunks(given: str, key: str, data: str) -> str:
 
 CUTS = f"""
 WITH RECURSIVE gear(b, v) AS (VALUES {_GEAR}),
-{windows(CHUNK_WINDOW, 'edit IN (2, 7)')},
+{windows(CHUNK_WINDOW)},
 tgt AS (SELECT pair_id, window_idx, tw FROM kinds),
 {chunks('tgt', 'pair_id, window_idx', 'tw')}
 SELECT pair_id, count(*) AS n_chunks, max(stop - start) AS longest, min(stop - start) AS shortest,
@@ -128,7 +128,7 @@ FROM tgt_chunks GROUP BY pair_id
 
 MATCHES = f"""
 WITH RECURSIVE gear(b, v) AS (VALUES {_GEAR}),
-{windows(CHUNK_WINDOW, 'edit IN (2, 7)')},
+{windows(CHUNK_WINDOW)},
 tgt AS (SELECT pair_id, window_idx, tw FROM kinds WHERE kind = 'CHANGED'),
 src AS (SELECT pair_id, window_idx, span FROM kinds WHERE kind = 'CHANGED'),
 {chunks('tgt', 'pair_id, window_idx', 'tw')},
@@ -154,10 +154,9 @@ SELECT pair_id, CASE WHEN place IS NULL THEN 'ADD' ELSE 'COPY' END AS op, CAST(s
 FROM steps GROUP BY 1, 2
 """
 
-def _built(where: str = "true") -> str:
+def _built() -> str:
     """CTEs that end in ``built``: kind and payload of every window, without zstd and chunks."""
-    streams = STREAMS.replace(windows(SMALL, "edit = 1"), windows(SMALL, where))
-    return f"""{streams},
+    return f"""{STREAMS},
 built AS (
   SELECT k.*, CASE WHEN k.kind <> 'CHANGED' THEN k.kind
       WHEN coalesce(x.copied >= k.size // 8 AND x.stream_size + 4 * x.instructions + k.span_size // 128 < k.size, false) THEN 'DELTA_RAW'

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,29 +66,25 @@ def clone_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return win.clone_eligible(rows, min_size=1024).select("pair_id", "source_size", "target_size", "same_bytes", "clone")
 
 
-#: Pairs that the SQL of the queries with short names is written for; those named ``_all`` read all.
-SCATTERED, SHIFTED_APPENDED, ALL = "edit = 1", "edit IN (2, 7)", "true"
-
-
-def _sparse(spark: SparkSession, sf_dir: str, which: str) -> tuple[DataFrame, DataFrame]:
-    rows = win.windows(pairs(spark, sf_dir).where(which), SMALL, halo=True)
+def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = win.windows(pairs(spark, sf_dir), SMALL, halo=True)
     return rows, delta.operations(rows)
 
 
-def sparse_runs(spark: SparkSession, sf_dir: str, which: str = SCATTERED) -> DataFrame:
-    _, ops = _sparse(spark, sf_dir, which)
+def sparse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ops = _sparse(spark, sf_dir)
     return ops.groupBy("pair_id", "op").agg(F.count("*").alias("n_ops"), F.sum("length").alias("n_bytes"), F.max("length").alias("longest"))
 
 
-def sparse_streams(spark: SparkSession, sf_dir: str, which: str = SCATTERED) -> DataFrame:
-    rows, ops = _sparse(spark, sf_dir, which)
+def sparse_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, ops = _sparse(spark, sf_dir)
     sizes = delta.encoded_sizes(ops, rows)
     return sizes.select("pair_id", "window_idx", "stream_size", "instructions", "copied")
 
 
-def _choice(mode: str, which: str = SCATTERED) -> Callable[[SparkSession, str], DataFrame]:
+def _choice(mode: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, ops = _sparse(spark, sf_dir, which)
+        rows, ops = _sparse(spark, sf_dir)
         sizes = delta.encoded_sizes(ops, rows)
         changed = win.classify(rows).where("kind = 'CHANGED'").select("pair_id", "window_idx", "output_size", "span_size")
         chosen = delta.choose(changed.join(sizes, ["pair_id", "window_idx"], "left"), mode)
@@ -100,8 +95,8 @@ def _choice(mode: str, which: str = SCATTERED) -> Callable[[SparkSession, str],
     return query
 
 
-def chunk_cuts(spark: SparkSession, sf_dir: str, which: str = SHIFTED_APPENDED) -> DataFrame:
-    rows = win.windows(pairs(spark, sf_dir).where(which), CHUNK_WINDOW)
+def chunk_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = win.windows(pairs(spark, sf_dir), CHUNK_WINDOW)
     each = delta.chunk_table(rows, CHUNK_AVERAGE)
     return each.groupBy("pair_id").agg(
         F.count("*").alias("n_chunks"),
@@ -111,9 +106,9 @@ def chunk_cuts(spark: SparkSession, sf_dir: str, which: str = SHIFTED_APPENDED)
     )
 
 
-def chunk_matches(spark: SparkSession, sf_dir: str, which: str = SHIFTED_APPENDED) -> DataFrame:
+def chunk_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = delta.Options(CHUNK_WINDOW, cdc=CHUNK_AVERAGE, cdc_gate=128)
-    rows = win.windows(pairs(spark, sf_dir).where(which), CHUNK_WINDOW, halo=True)
+    rows = win.windows(pairs(spark, sf_dir), CHUNK_WINDOW, halo=True)
     ops = delta.operations(rows, "chunks", options)
     return ops.groupBy("pair_id", "op").agg(F.count("*").alias("n_ops"), F.sum("length").alias("n_bytes"))
 
@@ -318,13 +313,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "choice_patch_size": _choice("patch-size"),
     "chunk_cuts": chunk_cuts,
     "chunk_matches": chunk_matches,
-    "sparse_runs_all": partial(sparse_runs, which=ALL),
-    "sparse_streams_all": partial(sparse_streams, which=ALL),
-    "choice_balanced_all": _choice("balanced", ALL),
-    "choice_apply_speed_all": _choice("apply-speed", ALL),
-    "choice_patch_size_all": _choice("patch-size", ALL),
-    "chunk_cuts_all": partial(chunk_cuts, which=ALL),
-    "chunk_matches_all": partial(chunk_matches, which=ALL),
     "window_build": window_build,
     "window_build_zstd": window_build_zstd,
     "apply_forward": apply_forward,
