@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
             folders = [os.path.dirname(os.path.abspath(s)) for s, _ in paths]
             pairs = api.read_pairs(spark, paths, os.path.commonpath(folders))
             options = Options(args.window_size, args.level, args.mode)
-            header = api.create_patch(pairs, args.output, options, args.reverse, args.comment, args.window_size)
+            header = api.create_patch(pairs, args.output, options, args.reverse, args.comment)
             print(f"{len(header.files)} files, {os.path.getsize(args.output)} bytes")
         elif args.command == "inspect":
             print(api.inspect_patch(spark, args.patch, args.root).first().state)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.blake3 import blake3, tree_root
 from palimpsest.functions.constants import IDENTITY_CHUNK
 from palimpsest.operators import apply, delta, inspect, verify
+from palimpsest.operators.windows import window_size_of
 from palimpsest.operators.journal import Fold, Journal, is_entry_safe
 from palimpsest.sources import container
 from palimpsest.sources.container import ContainerSource, File, Header
@@ -53,15 +54,16 @@ def _tree(rows: DataFrame, column: str) -> DataFrame:
     return sized.select(F.col("file_id").alias("pair_id"), "size", F.transform("c", lambda x: x["digest"]).alias("chunks"))
 
 
-def create_patch(pairs: DataFrame, path: str, options: delta.Options | None = None, reverse: bool = False, comment: str = "", window_size: int = 256 << 10) -> Header:
+def create_patch(pairs: DataFrame, path: str, options: delta.Options | None = None, reverse: bool = False, comment: str = "") -> Header:
     """Build all windows of ``pairs(pair_id, path, source, target)`` and write the container.
 
+    The window size is that of ``options``; where it is "auto", that of each file's larger side.
     Building is distributed; the payloads are streamed through the driver in container order.
     """
-    options = options or delta.Options(window_size=window_size)
+    options = options or delta.Options()
     files: dict[int, File] = {}
     for r in pairs.select("pair_id", "path").collect():  # a container has at most 2^18 files
-        files[r.pair_id] = File(r.path, window_size=window_size)
+        files[r.pair_id] = File(r.path)
     for column in ("source", "target"):
         for r in _tree(pairs, column).toLocalIterator():
             f = files[r.pair_id]
@@ -69,12 +71,15 @@ def create_patch(pairs: DataFrame, path: str, options: delta.Options | None = No
             setattr(f, f"{column}_size", r["size"])
             setattr(f, f"{column}_chunks", chunks)
             setattr(f, f"{column}_digest", tree_root(container.DOMAIN, r["size"], IDENTITY_CHUNK, chunks))
+    for f in files.values():
+        largest = max(f.source_size, f.target_size)
+        f.window_size = window_size_of(largest) if options.window_size == "auto" else int(options.window_size)
     given = [(0, pairs)] + ([(1, apply.reversed_pairs(pairs))] if reverse else [])
     built = None
     for side, rows in given:
         each = delta.build_windows(rows.drop("path"), options)
-        digests = _window_digests(rows, window_size)
-        each = each.join(digests, ["pair_id", "window_idx"]).withColumn("side", F.lit(side))
+        digests = _window_digests(rows, sorted({f.window_size for f in files.values()}))
+        each = each.join(digests, ["pair_id", "output_offset", "output_size"]).withColumn("side", F.lit(side))
         built = each if built is None else built.unionByName(each)
     ordered = built.orderBy("pair_id", "side", "window_idx").persist()
     try:
@@ -88,8 +93,8 @@ def create_patch(pairs: DataFrame, path: str, options: delta.Options | None = No
             )
             (files[r.pair_id].reverse if r.side else files[r.pair_id].forward).append(w)
         header = Header(
-            [files[k] for k in sorted(files)], created_ns=time.time_ns(), level=options.level, mode=options.mode, window_size=window_size,
-            comment=comment, reverse=reverse,
+            [files[k] for k in sorted(files)], created_ns=time.time_ns(), level=options.level, mode=options.mode,
+            window_size=max((f.window_size for f in files.values()), default=window_size_of(0)), comment=comment, reverse=reverse,
         )
         paid = ordered.where("payload_size > 0").select("payload").toLocalIterator()
         container.write(path, header, (bytes(r.payload) for r in paid))
@@ -98,9 +103,15 @@ def create_patch(pairs: DataFrame, path: str, options: delta.Options | None = No
     return header
 
 
-def _window_digests(rows: DataFrame, window_size: int) -> DataFrame:
-    cut = verify.chunk_digests(rows.select(F.col("pair_id").alias("file_id"), F.col("target").alias("content")), window_size, verify.blake3_256)
-    return cut.select(F.col("file_id").alias("pair_id"), F.col("chunk_idx").alias("window_idx"), "digest")
+def _window_digests(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``pair_id, output_offset, output_size, digest`` of the windows of every file at each of a
+    few sizes; equal ranges have equal digests, whatever the size they were cut by."""
+    out = None
+    for size in sizes:
+        cut = verify.chunk_digests(rows.select(F.col("pair_id").alias("file_id"), F.col("target").alias("content")), size, verify.blake3_256)
+        cut = cut.select(F.col("file_id").alias("pair_id"), F.col("offset").alias("output_offset"), F.col("length").alias("output_size"), "digest")
+        out = cut if out is None else out.unionByName(cut)
+    return out.distinct() if len(sizes) > 1 else out
 
 
 def read_patch(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Kinds that built-in expressions can make are made by them (SAME, COPY, REPLACE_RAW, ZERO, RUN);
 the others go through Arrow batches.  The only shuffle brings the windows of an output group
-together; groups are 8 MiB, so no task holds a whole file.
+together; groups are 8 MiB, so no task holds a whole rebuilt file.  ``rebuild``, which asks for the
+digest of whole versions only, streams the windows of each past its source.
 """
 
 from __future__ import annotations
@@ -87,21 +88,62 @@ def join_groups(decoded: DataFrame) -> DataFrame:
     return groups.mapInArrow(_join, "pair_id long, group long, group_offset long, bytes binary")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_bytes(source: bytes, place: int, size: int, kind: str, payload: bytes | None, expanded: int, offset: int, span: int, count: int) -> bytes:
+    if kind in ("SAME", "COPY"):
+        out = source[offset : offset + span]
+    elif kind in ("ZERO", "RUN"):
+        out = (payload or b"\0") * size
+    else:
+        out = codec.decompress(payload, expanded) if kind.endswith("ZSTD") else payload
+        if kind.startswith("DELTA"):
+            out = codec.decode_ops(out, source[offset : offset + span], offset, span, place, size, count)
+    if len(out) != size:
+        raise ValueError(f"the window at {place} has another size")
+    return out
+
+
+def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of versions whose rows come one after the other: the source, then its windows."""
+    pair, source, made, sha = None, None, 0, None
+    done: list[tuple] = []
+    names = ["pair_id", "size", "sha256"]
+
+    def emit() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[k] for r in done], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names)
+
     for batch in batches:
-        sums = [hashlib.sha256(b"".join(x)).hexdigest() for x in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array([sum(map(len, x)) for x in batch.column(1).to_pylist()], pa.int64()), pa.array(sums)], ["pair_id", "size", "sha256"])
+        for to, of, *window in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if window[0] < 0:
+                if sha is not None:
+                    done.append((pair, made, sha.hexdigest()))
+                pair, source, made, sha = to, of or b"", 0, hashlib.sha256()
+            elif sha is not None and to == pair:
+                if window[0] != made:
+                    raise ValueError("windows of a version leave a gap or overlap")
+                data = _window_bytes(source, *window)
+                sha.update(data)
+                made += len(data)
+        if done:
+            yield emit()
+            done = []
+    if sha is not None:
+        done.append((pair, made, sha.hexdigest()))
+        yield emit()
 
 
 def rebuild(windows: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pair_id, size, sha256`` of every rebuilt version; ``pairs(pair_id, source)`` says which
-    there are, so that an empty version, which has no window, is one too."""
-    groups = join_groups(decode_windows(windows, pairs))
-    files = groups.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("group", "bytes"))), lambda x: x["bytes"]).alias("b"))
-    made = files.mapInArrow(_digest, "pair_id long, size long, sha256 string")
-    return pairs.select("pair_id").join(made, "pair_id", "left").select(
-        "pair_id", F.coalesce("size", F.lit(0).cast("long")).alias("size"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256")
-    )
+    there are (each once), so that an empty version, which has no window, is one too.
+
+    One shuffle puts each source before its windows; a task holds one source and one window at a
+    time, and the version is hashed as it is made.
+    """
+    columns = ["output_offset", "output_size", "kind", "payload", "expanded_size", "source_offset", "source_size", "instruction_count"]
+    rows = windows.select("pair_id", F.lit(None).cast("binary").alias("source"), *columns)
+    first = F.lit(-1).cast("long").alias("output_offset")
+    sources = pairs.select("pair_id", "source", first, *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns[1:]))
+    both = rows.unionByName(sources).repartition("pair_id").sortWithinPartitions("pair_id", "output_offset")
+    return both.mapInArrow(_versions, "pair_id long, size long, sha256 string")
 
 
 def reversed_pairs(pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """How each window is made: edit operations, their encoding, and the cheapest candidate.
 
-Windows are independent, so building them is one pass of Arrow batches without a shuffle;
-what built-in expressions can decide (ZERO, RUN, SAME) is decided before, and costs no Python.
+Windows are independent, so building them is one pass of Arrow batches over the pairs, without a
+shuffle; a window that is ZERO, RUN or SAME is known by one comparison of bytes.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import codec
 from palimpsest.functions.constants import MODES
 
-from .windows import cheap_kind, windows
+from .windows import cheap_kind, window_size_of
 
 _BUILT = (
     "window_idx long, output_offset long, output_size long, kind string, codec string, payload binary, payload_size long, "
@@ -80,26 +80,48 @@ def build_window(target: bytes, same: bytes | None, span: bytes, span_offset: in
     return min(choices, key=lambda c: codec.score(c[0], len(c[2]), c[3], c[6], c[5], options.mode))
 
 
+#: Windows, and bytes of their payloads, between two emissions of a task.
+_EMIT_ROWS, _EMIT_BYTES = 4096, 32 << 20
+
+
+def _windows_of(source: bytes, target: bytes, options: Options) -> Iterator[tuple]:
+    """The built windows of one pair, cut as ``windows`` does."""
+    n, m = len(target), len(source)
+    w = window_size_of(max(n, m)) if options.window_size == "auto" else int(options.window_size)
+    for idx, place in enumerate(range(0, n, w)):
+        piece = target[place : place + w]
+        size = len(piece)
+        if piece[0] == piece[-1] and piece == piece[:1] * size:
+            made = ("RUN", "none", piece[:1], size, 0, 0, 0) if piece[0] else ("ZERO", "none", None, size, 0, 0, 0)
+        else:
+            same = source[place : place + size] if place + size <= m else None
+            if same == piece:
+                made = "SAME", "none", None, 0, place, size, 0
+            else:
+                low = max(place - w, 0)
+                made = build_window(piece, same, source[low : place + size + w], low if low < m else 0, place, options)
+        kind, how, payload, expanded, offset, span, count = made
+        yield idx, place, size, kind, how, payload, len(payload or b""), expanded, offset, span, count
+
+
 def _builder(options: Options, keep: list[str]):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit() -> pa.RecordBatch:
+            kept = [batch.column(c).take(pa.array(of, pa.int64())) for c in keep]
+            return pa.record_batch([*kept, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES))], [*keep, *_COLUMNS])
+
         for batch in batches:
-            rows = []
-            get = {name: batch.column(name) for name in ("window_idx", "output_offset", "output_size", "span_offset", "cheap", "target", "same", "span")}
-            for i in range(batch.num_rows):
-                at = {name: column[i].as_py() for name, column in get.items()}
-                place, size, cheap = at["output_offset"], at["output_size"], at["cheap"]
-                if cheap == "SAME":
-                    made = "SAME", "none", None, 0, place, size, 0
-                elif cheap == "ZERO":
-                    made = "ZERO", "none", None, size, 0, 0, 0
-                elif cheap == "RUN":
-                    made = "RUN", "none", at["target"][:1], size, 0, 0, 0
-                else:
-                    made = build_window(at["target"], at["same"], at["span"], at["span_offset"], place, options)
-                kind, how, payload, expanded, offset, span, count = made
-                rows.append((at["window_idx"], place, size, kind, how, payload, len(payload or b""), expanded, offset, span, count))
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)]
-            yield pa.record_batch([*(batch.column(c) for c in keep), *columns], [*keep, *_COLUMNS])
+            rows, of, held = [], [], 0
+            for i, (source, target) in enumerate(zip(batch.column("source"), batch.column("target"), strict=True)):
+                for row in _windows_of(source.as_py() or b"", target.as_py() or b"", options):
+                    rows.append(row)
+                    of.append(i)
+                    held += row[6]
+                    if len(rows) >= _EMIT_ROWS or held >= _EMIT_BYTES:
+                        yield emit()
+                        rows, of, held = [], [], 0
+            if rows:
+                yield emit()
 
     return build
 
@@ -107,16 +129,12 @@ def _builder(options: Options, keep: list[str]):
 def build_windows(pairs: DataFrame, options: Options | None = None) -> DataFrame:
     """Every window of every pair with its kind, codec, payload and source range.
 
-    Columns of ``pairs`` other than the two versions are kept.
+    Columns of ``pairs`` other than the two versions are kept.  Both versions go to the task's
+    Python worker once; cut before, a changed window would carry three times its size of source.
     """
     options = options or Options()
-    rows = windows(pairs, options.window_size, halo=True).withColumn("cheap", cheap_kind())
-    # What the cheap kinds don't need isn't sent to Python.
-    for c in ("same", "span"):
-        rows = rows.withColumn(c, F.when(F.col("cheap").isNull(), F.col(c)))
-    rows = rows.withColumn("target", F.when(F.col("cheap") == "RUN", F.substring("target", 1, 1)).when(F.col("cheap").isNull(), F.col("target")))
     keep = [c for c in pairs.columns if c not in ("source", "target")]
-    rows = rows.select(*keep, "window_idx", "output_offset", "output_size", "span_offset", "cheap", "target", "same", "span")
+    rows = pairs.select(*keep, "source", "target")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema), _BUILT])
     return rows.mapInArrow(_builder(options, keep), schema)
 

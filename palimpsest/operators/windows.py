@@ -14,15 +14,22 @@ from palimpsest.functions.constants import IDENTITY_CHUNK
 KIB, MIB, GIB = 1 << 10, 1 << 20, 1 << 30
 
 
-def auto_window_size(largest: Column) -> Column:
+#: Greatest file of each automatic window size: below the first, up to the others.
+AUTO_SIZES = ((MIB - 1, 256 * KIB), (16 * MIB, 512 * KIB), (128 * MIB, MIB), (GIB, 2 * MIB))
+AUTO_LARGEST = 4 * MIB
+
+
+def window_size_of(largest: int) -> int:
     """The window size for a file by the larger of its two sizes."""
-    return (
-        F.when(largest < MIB, 256 * KIB)
-        .when(largest <= 16 * MIB, 512 * KIB)
-        .when(largest <= 128 * MIB, MIB)
-        .when(largest <= GIB, 2 * MIB)
-        .otherwise(4 * MIB)
-    )
+    return next((size for most, size in AUTO_SIZES if largest <= most), AUTO_LARGEST)
+
+
+def auto_window_size(largest: Column) -> Column:
+    """``window_size_of`` as an expression."""
+    out = F
+    for most, size in AUTO_SIZES:
+        out = out.when(largest <= most, size)
+    return out.otherwise(AUTO_LARGEST)
 
 
 def same_byte(data: str) -> str:

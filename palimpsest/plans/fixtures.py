@@ -8,30 +8,40 @@ from pyspark.sql import functions as F
 MIB = 1 << 20
 
 _AUDIT = "name string, kind string, codec string, flags int, output_offset long, output_size long, payload_size long, expanded_size long, source_offset long, source_size long, source_first_chunk long, source_chunk_count int, instruction_count int, input_size long"
-_VALID = {
-    "same": ("SAME", "none", 0, 0, 16, 0, 0, 0, 16, 0, 1, 0, 64),
-    "copy": ("COPY", "none", 0, 0, 16, 0, 0, 8, 16, 0, 1, 0, 64),
-    "delta_raw": ("DELTA_RAW", "none", 0, 0, 16, 9, 9, 0, 32, 0, 1, 2, 64),
-    "delta_zstd": ("DELTA_ZSTD", "zstd", 0, 0, 16, 9, 12, 0, 32, 0, 1, 2, 64),
-    "replace_raw": ("REPLACE_RAW", "none", 0, 0, 16, 16, 16, 0, 0, 0, 0, 0, 64),
-    "replace_zstd": ("REPLACE_ZSTD", "zstd", 0, 0, 16, 4, 16, 0, 0, 0, 0, 0, 64),
-    "zero": ("ZERO", "none", 0, 0, 16, 0, 16, 0, 0, 0, 0, 0, 64),
-    "run": ("RUN", "none", 0, 0, 16, 1, 16, 0, 0, 0, 0, 0, 64),
-}
 _FIELDS = ("kind", "codec", "flags", "output_offset", "output_size", "payload_size", "expanded_size", "source_offset", "source_size", "source_first_chunk", "source_chunk_count", "instruction_count", "input_size")
-_BROKEN = (
-    ("same", {"flags": 1}), ("same", {"source_offset": 1}), ("copy", {"source_size": 15}), ("delta_raw", {"payload_size": 0}),
-    ("delta_zstd", {"codec": "none"}), ("replace_raw", {"payload_size": 15}), ("replace_zstd", {"expanded_size": 15}),
-    ("zero", {"source_offset": 1}), ("run", {"payload_size": 2}), ("same", {"kind": "OTHER"}), ("copy", {"source_offset": 60}),
-    ("copy", {"source_first_chunk": 1}), ("delta_raw", {"payload_size": MIB + 33, "expanded_size": MIB + 33}),
-    ("delta_zstd", {"payload_size": 5000}), ("delta_raw", {"instruction_count": 0}), ("run", {"instruction_count": 1}),
-)
+_KINDS = ("SAME", "COPY", "DELTA_RAW", "DELTA_ZSTD", "REPLACE_RAW", "REPLACE_ZSTD", "ZERO", "RUN")
+
+
+def _descriptor(kind: str, turn: int) -> dict:
+    """A descriptor of this kind that breaks no rule; ``turn`` varies its place and sizes."""
+    chunk = 8 * MIB
+    size, place = 300 + 77 * turn, 5000 * turn * turn
+    moves, delta, packed = kind in ("SAME", "COPY"), kind.startswith("DELTA"), kind.endswith("ZSTD")
+    span = size if moves else 3 * size if delta else 0
+    at = place if kind == "SAME" else turn * chunk - turn * 40 if moves or delta else 0
+    grown = 0 if moves else 60 + turn if delta else size
+    paid = {"REPLACE_RAW": size, "RUN": 1}.get(kind, grown - 20 if packed else grown if delta else 0)
+    first = at // chunk
+    count = -(-(at + span) // chunk) - first if span else 0
+    values = (kind, "zstd" if packed else "none", 0, place, size, paid, grown, at, span, first, count, 3 + turn if delta else 0, at + span + place + 9)
+    return dict(zip(_FIELDS, values, strict=True))
 
 
 def audit_rows() -> list[tuple]:
-    rows = [(name, *v) for name, v in _VALID.items()]
-    for i, (name, change) in enumerate(_BROKEN):
-        rows.append((f"broken_{i:02d}_{name}", *(dict(zip(_FIELDS, _VALID[name], strict=True)) | change).values()))
+    """Every kind in three forms without fault, and each with each of its fields changed: to
+    nothing, by one either way, doubled, beyond any bound; and to every other kind and codec."""
+    rows = []
+    for kind in _KINDS:
+        for turn in range(3):
+            good = _descriptor(kind, turn)
+            rows.append((f"{kind} {turn}", *good.values()))
+            changed = [("kind", x) for x in (*_KINDS, "MOVE", "")] + [("codec", x) for x in ("none", "zstd")]
+            changed += [(f, x) for f in _FIELDS[2:] for x in (0, good[f] - 1, good[f] + 1, 2 * good[f], 1 << 28)]
+            seen = {(f, good[f]) for f in _FIELDS}
+            for field, x in changed:
+                if (field, x) not in seen and (isinstance(x, str) or x >= 0):
+                    seen.add((field, x))
+                    rows.append((f"{kind} {turn}, {field} {x}", *(good | {field: x}).values()))
     return rows
 
 
@@ -67,15 +77,22 @@ def _pair_lists() -> list[tuple[int, str]]:
 
 
 PAIR_LISTS = _pair_lists()
-#: (file, size) and (file, kind, source offset, source size).
-PLAN_FILES = [(1, 64 * MIB), (2, 64 * MIB), (3, 32 * MIB), (4, 16 * MIB), (5, 0), (6, 40 * MIB + 77)]
-PLAN_WINDOWS = [
-    (1, "SAME", 0, 8 * MIB), (1, "COPY", 8 * MIB, MIB),
-    (2, "DELTA_RAW", MIB, 65536), (2, "DELTA_RAW", 17 * MIB, 65536), (2, "DELTA_ZSTD", 33 * MIB, 65536), (2, "DELTA_RAW", 49 * MIB, 65536),
-    (3, "DELTA_RAW", MIB, 65536), (3, "DELTA_ZSTD", 17 * MIB, 65536),
-    (4, "DELTA_RAW", 0, 8 * MIB), (4, "DELTA_RAW", 8 * MIB, 8 * MIB),
-    (6, "DELTA_RAW", 40 * MIB, 77), (6, "DELTA_RAW", 3 * MIB - 5, 300000), (6, "DELTA_RAW", 3 * MIB - 5, 300000),
-]
+def _plans() -> tuple[list[tuple], list[tuple]]:
+    """(file, size) and (file, kind, source offset, source size): files of many sizes, each with up
+    to eleven ranges at a step of its own, some of them twice or over each other."""
+    files, ranges = [], []
+    for f in range(60):
+        size = (f * 37 % 101) * MIB + f * 1021 * (f % 3)
+        files.append((f, size))
+        step = ((1 << 16) + 11, 700_001, 5 * MIB, 9 * MIB + 1, 20 * MIB)[f % 5]
+        for j in range(f % 12):
+            at, n = j * step % max(size, 1), (1 + j * f % 7) * ((1 << 14) + 3) << (f % 4)
+            if size:
+                ranges.append((f, ("DELTA_RAW", "DELTA_ZSTD", "COPY", "SAME")[(f + j * j) % 4], at, min(n, size - at)))
+    return files, ranges
+
+
+PLAN_FILES, PLAN_WINDOWS = _plans()
 FINE_TABLES = [("p", 0, (1 << 19) - 1), ("p", 1, 2), ("p", 2, 1), ("q", 0, 5), ("q", 1, 1 << 19), ("q", 2, 7), ("r", 0, 1 << 20)]
 #: Journals of one commit for each order: ``n`` entries that are backed up and replaced one after
 #: the other and then committed, cut off anywhere, most with one record that breaks a rule.  The

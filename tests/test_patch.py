@@ -60,6 +60,19 @@ def test_round_trip(spark, tmp_path, versions):
     assert not [n for _, _, names in os.walk(root) for n in names if n.startswith(".")]
 
 
+def test_window_size_of_each_file(spark, tmp_path, versions):
+    """"auto" is decided file by file; a size that is given holds for all."""
+    old, new = (dict(x) for x in versions)
+    old["large"], new["large"] = random.Random(8).randbytes(1_300_000), random.Random(8).randbytes(1_200_000) + b"end"
+    path = make(spark, tmp_path, (old, new), options=delta.Options())
+    header, _ = container.open_container(path)
+    assert {f.path: f.window_size for f in header.files}["large"] == 512 << 10 and header.files[0].window_size == 256 << 10
+    api.apply_patch(spark, path, str(tmp_path / "old"))
+    assert {n: load(tmp_path / "old", n) for n in new} == new
+    path = make(spark, tmp_path, (old, new), options=delta.Options(window_size=1 << 20))
+    assert {f.window_size for f in container.open_container(path)[0].files} == {1 << 20}
+
+
 def test_wrong_source_changes_nothing(spark, tmp_path, versions):
     path = make(spark, tmp_path, versions)
     root = tmp_path / "old"

@@ -5,17 +5,25 @@ import os
 
 import pytest
 
+from palimpsest.functions.constants import FINE_BANDS, FINE_ENTRY_BYTES, FINE_PENALTY, IDENTITY_CHUNK
 from palimpsest.operators import inspect, journal, layout, paths, verify
 from palimpsest.plans import fixtures as fx
 from palimpsest.sources.container import check_path, window_reason
 
 
 def test_audit_agrees_with_the_container(spark):
-    for r in layout.window_audit(fx.audit_windows(spark)).collect():
+    rows = layout.window_audit(fx.audit_windows(spark)).collect()
+    for r in rows:
         w = r.asDict()
-        if w["kind"] != "OTHER":
+        if w["kind"] in fx._KINDS:
             assert (window_reason(w, w["input_size"]) is None) == (r.reason is None), r
-        assert (r.reason is None) == (not r.name.startswith("broken")), r
+        else:
+            assert r.reason == "kind", r
+        assert r.reason is None or "," in r.name, r
+    assert {r.reason for r in rows} >= {
+        None, "flags", "kind", "codec", "payload", "source size", "source offset", "stream bound", "zstd bound", "expanded size", "instructions",
+        "source of none", "source range", "source chunks",
+    }
 
 
 def test_paths_agree_with_the_container(spark):
@@ -34,16 +42,22 @@ def test_collisions(spark):
 
 
 def test_common_base(spark):
-    rows = [(1, "bin/game.exe"), (1, "assets/data.bin"), (2, "a/b/x"), (2, "a/b/c/y"), (3, "a/b/only"), (4, "top")]
+    rows = [(g, "/".join(["r", "s", "t"][: g % 4] + [f"u{k}"] * (k % 3) + [f"v{k}"])) for g in range(8) for k in range(g % 5 + 1)]
+    want = {}
+    for g, path in rows:
+        folders = path.split("/")[:-1]
+        want[g] = os.path.commonprefix([want.get(g, folders), folders])
     got = {r.g: r.base for r in paths.common_base(spark.createDataFrame(rows, "g int, path string"), "g").collect()}
-    assert got == {1: "", 2: "a/b", 3: "a/b", 4: ""}
+    assert got == {g: "/".join(x) for g, x in want.items()}
 
 
 def test_pair_lists(spark, tmp_path):
-    assert paths.parse_pair_list('[{"source":"a","target":"/b"}]', "/x") == [("/x/a", "/b")]
-    for bad in ("[]", "{}", '[{"source":"a"}]', '[{"source":"a","target":"b","c":1}]', "[1]", '[{"source":" ","target":"b"}]', '[{"source":"a","target":"b"}] x'):
-        with pytest.raises(ValueError):
-            paths.parse_pair_list(bad)
+    assert paths.parse_pair_list('[{"target":"/new/q","source":"old/p"}, {"source":"/s","target":"t"}]', "/at") == [("/at/old/p", "/new/q"), ("/s", "/at/t")]
+    for i, bad in fx.PAIR_LISTS:
+        if bad.count("{") != 1 or "source" not in bad or "target" not in bad:
+            if bad.count("{") < 2:
+                with pytest.raises(ValueError):
+                    paths.parse_pair_list(bad)
     (tmp_path / "pairs.json").write_text(json.dumps([{"source": "a", "target": "b"}]))
     got = paths.pairs_from_json(spark, str(tmp_path / "pairs.json")).first()
     assert got.source.endswith("/a") and got.target.endswith("/b")
@@ -130,35 +144,60 @@ def test_interrupted_commits_recover(tmp_path):
         assert sorted(x.name for x in root.rglob("*") if x.is_file()) == ["a", "b"]
 
 
-def test_fine_plans_of_known_cases(spark):
-    files, windows = fx.plan_files(spark), fx.plan_windows(spark)
-    speed = {r.file_id: r for r in verify.plan_fine(files, windows, "apply-speed").collect()}
-    assert (speed[2].band_size, speed[2].n_bands, speed[2].fine_bytes, speed[2].canonical_bytes) == (65536, 4, 262144, 32 << 20)
-    assert {r.file_id: r.band_size for r in verify.plan_fine(files, windows, "balanced").collect()}[3] == 262144
-    assert 1 not in speed and 4 not in speed
+@pytest.mark.parametrize("mode", sorted(FINE_BANDS))
+def test_fine_plans_against_brute_force(spark, mode):
+    def touched(f, size, band):
+        spans = [(at, n) for g, kind, at, n in fx.PLAN_WINDOWS if g == f and kind.startswith("DELTA") and n]
+        found = {k for at, n in spans for k in range(at // band, (at + n - 1) // band + 1)}
+        return len(found), sum(min(band, size - k * band) for k in found)
+
+    want = {}
+    for f, size in fx.PLAN_FILES:
+        _, whole = touched(f, size, IDENTITY_CHUNK)
+        ways = []
+        for order, band in enumerate(FINE_BANDS[mode]):
+            n, covered = touched(f, size, band)
+            table = n * FINE_ENTRY_BYTES
+            if n and covered + table * FINE_PENALTY[mode] < whole and whole - covered >= max(1 << 18, 2 * table):
+                ways.append((covered + table * FINE_PENALTY[mode], order, band, n, covered, whole))
+        if ways:
+            want[f] = min(ways)[2:]
+    got = verify.plan_fine(fx.plan_files(spark), fx.plan_windows(spark), mode).collect()
+    assert {r.file_id: (r.band_size, r.n_bands, r.fine_bytes, r.canonical_bytes) for r in got} == want
+    assert 10 < len(want) < len(fx.PLAN_FILES)
 
 
 def test_estimate_and_identity(spark):
-    got = inspect.estimate(spark.createDataFrame([(100, 200)], "source_size long, target_size long"), reverse=True).first()
-    assert got.work_bytes == 300 and got.total_bytes == got.work_bytes + got.output_bytes
+    sizes = [(71 * k, 13 * k * k) for k in range(9)]
+    got = inspect.estimate(spark.createDataFrame(sizes, "source_size long, target_size long"), reverse=True).first()
+    assert got.work_bytes == sum(map(sum, sizes)) and got.total_bytes == got.work_bytes + got.output_bytes
     a = spark.sql("SELECT * FROM VALUES ('x', 1L, timestamp'2020-01-01'), ('y', 2L, timestamp'2020-01-01'), ('z', 3L, timestamp'2020-01-01') t(path, length, modificationTime)")
     b = spark.sql("SELECT * FROM VALUES ('x', 1L, timestamp'2020-01-01'), ('y', 9L, timestamp'2020-01-01'), ('w', 3L, timestamp'2020-01-01') t(path, length, modificationTime)")
     assert {r.path: r.change for r in inspect.stable(a, b).collect()} == {"y": "changed", "z": "removed", "w": "added"}
 
 
-def test_preflight_cases(spark):
-    cases = {  # (files: source, target, other, absent, folder): state
-        ("absent", "absent"): "missing-files", ("source", "target"): "mixed-files", ("other", "other"): "invalid-files",
-        ("folder",): "invalid-files", ("both",): "bidirectional-ready", ("source", "source"): "forward-ready", ("target", "target"): "reverse-ready",
-    }
+def test_preflight_of_every_mixture(spark):
+    """Up to three files in each of the states a file can be in, against the rules in words."""
+    import itertools
+
+    def state(files):
+        if "absent" in files:
+            return "missing-files"
+        if {"folder", "neither"} & set(files):
+            return "invalid-files"
+        old, new = (all(f in (x, "both") for f in files) for x in ("old", "new"))
+        return "bidirectional-ready" if old and new else "forward-ready" if old else "reverse-ready" if new else "mixed-files"
+
+    kinds = ("old", "new", "both", "neither", "absent", "folder")
+    cases = [c for n in (1, 2, 3) for c in itertools.product(kinds, repeat=n)]
     expected, installed = [], []
     for i, files in enumerate(cases):
         for k, f in enumerate(files):
-            expected.append((i, str(k), "s", "s" if f == "both" else "t", True))
+            expected.append((i, f"f{k}", "o", "o" if f == "both" else "n", True))
             if f != "absent":
-                installed.append((i, str(k), f != "folder", {"source": "s", "both": "s", "target": "t"}.get(f, "x")))
+                installed.append((i, f"f{k}", f != "folder", {"old": "o", "both": "o", "new": "n"}.get(f, "?")))
     got = inspect.inspect(
         spark.createDataFrame(expected, "patch_id long, path string, source_digest string, target_digest string, has_reverse boolean"),
         spark.createDataFrame(installed, "patch_id long, path string, regular boolean, digest string"),
     ).collect()
-    assert {r.patch_id: r.state for r in got} == dict(enumerate(cases.values()))
+    assert {r.patch_id: r.state for r in got} == {i: state(c) for i, c in enumerate(cases)}
