@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, documents, stash
+from .common import arrow_rows, components, documents, release, stash
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -142,26 +142,27 @@ def _add(table: pa.Table) -> pa.Table:
     total = np.zeros(_BLOCK, np.int64)
     for x in table.column("counts"):
         total += np.frombuffer(x.as_buffer(), np.int64)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    ranks = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ranks": pa.array([ranks.tobytes()], pa.binary())})
 
 
-def _counts(texts: DataFrame, shingle_words: int) -> np.ndarray:
-    """In how many documents shingles of each slot are."""
-    blocks = texts.mapInArrow(_counter(shingle_words), "block int, counts binary").groupBy("block").applyInArrow(_add, "block int, counts binary")
-    out = np.zeros(SLOTS, np.int64)
-    for r in blocks.toLocalIterator():
-        out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, np.int64)
+def _ranks(texts: DataFrame, shingle_words: int) -> np.ndarray:
+    """For each slot, eight steps for each doubling of the documents that have shingles of it."""
+    blocks = texts.mapInArrow(_counter(shingle_words), "block int, counts binary").groupBy("block").applyInArrow(_add, "block int, ranks binary")
+    out = np.zeros(SLOTS, np.uint8)
+    for r in blocks.collect():
+        out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.ranks, np.uint8)
     return out
 
 
-def _prefixes(counts, shingle_words: int, ratio: Fraction):
+def _prefixes(ranks, shingle_words: int, ratio: Fraction):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, prefixes = [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), shingle_words)
                 n = len(found)
-                order = np.lexsort((found, counts.value[_slots(found)]))
+                order = np.lexsort((found, ranks.value[_slots(found)]))
                 prefixes.append(found[order[: n - -(-ratio.numerator * n // ratio.denominator) + 1]].tobytes())
                 sizes.append(n)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "n", "prefix"])
@@ -292,17 +293,19 @@ def _hopeful(ratio: Fraction):
     return judge
 
 
-def _rest(texts: DataFrame, near: DataFrame, shingle_words: int, ratio: Fraction) -> DataFrame:
-    """The links between components of the links ``near``, all of them."""
+def _crosslinks(texts: DataFrame, of: DataFrame, shingle_words: int, ratio: Fraction) -> DataFrame:
+    """All links between the components ``of(node, root)``."""
     spark = texts.sparkSession
-    of = stash(components(near), "near-components").select(F.col("node").alias("doc_id"), "root")
-    counts = spark.sparkContext.broadcast(_counts(texts, shingle_words))
-    prefixes = texts.mapInArrow(_prefixes(counts, shingle_words, ratio), "doc_id long, n long, prefix binary")
+    of = of.select(F.col("node").alias("doc_id"), "root")
+    ranks = spark.sparkContext.broadcast(_ranks(texts, shingle_words))
+    prefixes = texts.mapInArrow(_prefixes(ranks, shingle_words, ratio), "doc_id long, n long, prefix binary")
     prefixes = prefixes.join(of, "doc_id", "left").select("doc_id", "n", "prefix", F.coalesce("root", "doc_id").alias("root"))
     places = stash(prefixes, "prefixes").mapInArrow(_places, "token long, size long, doc_id long, root long")
     runs = places.repartition("token").sortWithinPartitions("token", "size")
     pairs = stash(runs.mapInArrow(_crossing(ratio), "a long, b long").distinct(), "cross")
-    counts.destroy()
+    ranks.destroy()
+    del places, runs, prefixes
+    release(spark)  # what was shuffled is the largest of this step
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     drawn = stash(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sketches(shingle_words), "doc_id long, n long, bits binary"), "sketches")
     x, y = (drawn.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
@@ -323,13 +326,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, shingle_words: int, ratio: Fra
         return stash(both.mapInArrow(_judge(ratio), "a long, b long"), f"{what}-links")
 
 
-def links(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """``(a long, b long)``: pairs of doc_ids of at least ``similarity`` that join the same
-    documents as all such pairs do."""
-    ratio = Fraction(str(similarity))
-    if shingle_words < 1 or rounds < 1 or not 0 < ratio <= 1:
-        raise ValueError("shingle_words and rounds must be positive, similarity above 0 and at most 1")
-    texts = documents(docs)
+def _banded(texts: DataFrame, shingle_words: int, ratio: Fraction, rounds: int) -> DataFrame:
+    """The links that bands and leaders find."""
     rest = stash(texts.mapInArrow(_keys(shingle_words), "key long, doc_id long, n int"), "keys")
     out = None
     for _ in range(rounds):
@@ -345,11 +343,35 @@ def links(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float
         rest = stash(apart.select("key", "doc_id", "n"), "apart")
         if rest.isEmpty():
             break
-    return out.unionByName(_rest(texts, out, shingle_words, ratio))
+    return out
+
+
+def _links(docs: DataFrame, shingle_words: int, similarity: float, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links of the first way, their components, and the links of the second way."""
+    ratio = Fraction(str(similarity))
+    if shingle_words < 1 or rounds < 1 or not 0 < ratio <= 1:
+        raise ValueError("shingle_words and rounds must be positive, similarity above 0 and at most 1")
+    texts = documents(docs)
+    near = _banded(texts, shingle_words, ratio, rounds)
+    release(docs.sparkSession)
+    of = stash(components(near), "near-components")
+    release(docs.sparkSession)
+    cross = _crosslinks(texts, of, shingle_words, ratio)
+    release(docs.sparkSession)
+    return near, of, cross
+
+
+def links(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """``(a long, b long)``: pairs of doc_ids of at least ``similarity`` that join the same
+    documents as all such pairs do."""
+    near, _, cross = _links(docs, shingle_words, similarity, rounds)
+    return near.unionByName(cross)
 
 
 def copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id long, component_id long)`` of the documents that are not the least of their
     component of similar texts."""
-    found = components(links(docs, shingle_words, similarity))
+    _, found, cross = _links(docs, shingle_words, similarity, ROUNDS)
+    if not cross.isEmpty():
+        found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(cross))
     return found.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
