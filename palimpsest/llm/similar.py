@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, documents, release, stash
+from .common import arrow_rows, components, documents, drop, release, stash
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -45,6 +45,8 @@ SLOTS = 1 << 20
 _SHINGLES = 2048
 #: Slots whose counts travel together, and shingles that are counted at once.
 _BLOCK, _COUNTED = 1 << 14, 1 << 20
+#: Parts of all shingles that are shuffled one after the other, so that disk holds one at a time.
+PARTS = 8
 #: Rows of one shingle that are paired by their distance in the run; longer runs go row by row.
 _SHORT = 32
 #: Pairs that are written at once.
@@ -170,17 +172,26 @@ def _prefixes(ranks, shingle_words: int, ratio: Fraction):
     return make
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each prefix; ``size`` is the document's and, below it, the place."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            some = batch.slice(start, 256)
-            doc, n, root = (some.column(i).to_numpy() for i in (0, 1, 3))
-            found = [np.frombuffer(x.as_buffer(), np.int64) for x in some.column(2)]
-            each = np.array([len(x) for x in found])
-            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            columns = [np.concatenate(found), np.repeat(n << 32, each) | at, np.repeat(doc, each), np.repeat(root, each)]
-            yield pa.record_batch([pa.array(x) for x in columns], ["token", "size", "doc_id", "root"])
+def _places(part: int):
+    """A row for each shingle of each prefix that is in this of ``PARTS`` parts; ``size`` is the
+    document's and, below it, the place."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                some = batch.slice(start, 1024)
+                doc, n, root = (some.column(i).to_numpy() for i in (0, 1, 3))
+                found = [np.frombuffer(x.as_buffer(), np.uint64) for x in some.column(2)]
+                each = np.array([len(x) for x in found])
+                tokens = np.concatenate(found)
+                at = np.arange(len(tokens)) - np.repeat(np.cumsum(each) - each, each)
+                of = np.repeat(np.arange(len(found)), each)
+                here = np.flatnonzero((tokens >> np.uint64(32)) % np.uint64(PARTS) == part)
+                of, at = of[here], at[here]
+                columns = [tokens[here].view(np.int64), n[of] << 32 | at, doc[of], root[of]]
+                yield pa.record_batch([pa.array(x) for x in columns], ["token", "size", "doc_id", "root"])
+
+    return places
 
 
 def _crossing(ratio: Fraction):
@@ -300,12 +311,18 @@ def _crosslinks(texts: DataFrame, of: DataFrame, shingle_words: int, ratio: Frac
     ranks = spark.sparkContext.broadcast(_ranks(texts, shingle_words))
     prefixes = texts.mapInArrow(_prefixes(ranks, shingle_words, ratio), "doc_id long, n long, prefix binary")
     prefixes = prefixes.join(of, "doc_id", "left").select("doc_id", "n", "prefix", F.coalesce("root", "doc_id").alias("root"))
-    places = stash(prefixes, "prefixes").mapInArrow(_places, "token long, size long, doc_id long, root long")
-    runs = places.repartition("token").sortWithinPartitions("token", "size")
-    pairs = stash(runs.mapInArrow(_crossing(ratio), "a long, b long").distinct(), "cross")
+    prefixes = stash(prefixes, "prefixes")
     ranks.destroy()
-    del places, runs, prefixes
-    release(spark)  # what was shuffled is the largest of this step
+    pairs = None
+    for part in range(PARTS):
+        places = prefixes.mapInArrow(_places(part), "token long, size long, doc_id long, root long")
+        runs = places.repartition("token").sortWithinPartitions("token", "size")
+        found = stash(runs.mapInArrow(_crossing(ratio), "a long, b long").distinct(), "cross")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        del places, runs
+        release(spark)  # what was shuffled is the largest of this step
+    drop(prefixes)
+    pairs = pairs.distinct()
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     drawn = stash(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sketches(shingle_words), "doc_id long, n long, bits binary"), "sketches")
     x, y = (drawn.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
@@ -328,7 +345,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, shingle_words: int, ratio: Fra
 
 def _banded(texts: DataFrame, shingle_words: int, ratio: Fraction, rounds: int) -> DataFrame:
     """The links that bands and leaders find."""
-    rest = stash(texts.mapInArrow(_keys(shingle_words), "key long, doc_id long, n int"), "keys")
+    keys = rest = stash(texts.mapInArrow(_keys(shingle_words), "key long, doc_id long, n int"), "keys")
     out = None
     for _ in range(rounds):
         # The least document of each bucket of several; partially aggregated, so large buckets are no matter.
@@ -343,6 +360,7 @@ def _banded(texts: DataFrame, shingle_words: int, ratio: Fraction, rounds: int)
         rest = stash(apart.select("key", "doc_id", "n"), "apart")
         if rest.isEmpty():
             break
+    drop(keys)
     return out
 
 
