@@ -1,7 +1,7 @@
 """The corpus pipeline: stages, each of which calls one operator of ``palimpsest.llm``.
 
 A stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read again as the
-next one's ``docs``.  Each starts by letting go of what the one before it shuffled.  All stages but the last keep the columns of ``documents``.  Rows with a
+next one's ``docs``.  Each starts by letting go of what the one before it shuffled or stashed.  All stages but the last keep the columns of ``documents``.  Rows with a
 null doc_id are rejected by the first stage; a null text counts as empty, and fails there too.
 """
 
@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, packing, quality, secret_scan, simhash, similar
-from palimpsest.llm.common import load, release, stash
+from palimpsest.llm.common import load, release, stash, without
 
 
 #: Names of columns that joins add and drop, unlike any that a table is likely to have.
-FIRST, COPY, ROW = "__near_duplicates_first", "__near_duplicates_copy", "__near_duplicates_row"
+COPY, ROW = "__near_duplicates_copy", "__near_duplicates_row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +32,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     release(spark)
     found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(FIRST))
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col(FIRST), "left_semi")
+    copies = stash(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(COPY)), "copies")
+    del found
+    release(spark)
+    kept = without(docs.where(F.col("doc_id").cast("long").isNotNull()), "doc_id", copies)
     if not docs.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
         # Rows that share an id are one document; the greatest text stands for it, as in the operator.
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
         best = kept.groupBy("doc_id").agg(F.max_by(row, F.coalesce("text", F.lit(""))).alias(ROW))
         kept = best.select(f"{ROW}.*")
     kept = stash(kept, "distinct")
-    del found, first
+    del copies
     release(spark)
     copies = similar.copies(kept).select(F.col("doc_id").alias(COPY))
     return kept.join(copies, F.col("doc_id").cast("long") == F.col(COPY), "left_anti")

@@ -20,7 +20,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,12 +51,23 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return path
 
 
+#: By path of a stashed table, a weak reference to what all plans that read it share.
+_stashed: dict[str, object] = {}
+
+
 def stash(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+
+    The files stay for as long as any DataFrame reads them, and until a ``release`` after that (of
+    the last plans, Spark lets go within a second)."""
     spark = df.sparkSession
     path = new_dir(spark, what)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    with contextlib.suppress(Py4JError):  # another reader of Parquet than Spark's first: the files stay
+        index = out._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+        _stashed[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(index)
+    return out
 
 
 @contextlib.contextmanager
@@ -76,19 +88,32 @@ def arrow_rows(spark: SparkSession, n: int):
     return settings_of(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(n)})
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a stashed table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the shuffle files of queries that nothing refers to any more be removed: Spark does so
-    when the driver's collector finds them, which may be long after they were read."""
+    """Let the shuffle files and stashed tables of queries that nothing refers to any more be removed:
+    Spark does so with shuffle files when the driver's collector finds them, which may be long after
+    they were read."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    for path, index in list(_stashed.items()):
+        try:
+            held = index.get() is not None
+        except Py4JError:  # of a session that has ended, whose files went with it
+            del _stashed[path]
+            continue
+        if not held:
+            _delete(spark, path)
+            del _stashed[path]
 
 
 def give_back() -> None:
@@ -111,6 +136,49 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return once.unionByName(again)
 
 
+#: Bits of a filter for each id, bits of one of its blocks (those of ``bitmap_construct_agg``), and
+#: the most blocks: beyond them (16 MB) a filter lets more rows through, and no fewer.
+_ID_BITS, _BLOCK_BITS, _MOST_BLOCKS = 16, 1 << 15, 1 << 12
+_PLACE, _BLOCK, _MAP = "__filter_place", "__filter_block", "__filter_map"
+
+
+def split(docs: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` (a long) is surely none of ``ids`` (one column of longs), and the rest.
+
+    No row is moved: a bit for each hash of an id is broadcast.  What is joined with ids then
+    is the rest only, so that texts are shuffled by how many ids there are, not by all rows.
+    """
+    (name,) = ids.columns
+    blocks = min(max(1, ids.count() * _ID_BITS // _BLOCK_BITS), _MOST_BLOCKS)
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast("long")), F.lit(blocks * _BLOCK_BITS))
+
+    block = F.floor(F.col(_PLACE) / _BLOCK_BITS)
+    maps = ids.select(place(F.col(name)).alias(_PLACE)).select(block.alias(_BLOCK), (F.col(_PLACE) % _BLOCK_BITS).alias(_PLACE))
+    maps = maps.repartition(_BLOCK).groupBy(_BLOCK).agg(F.bitmap_construct_agg(_PLACE).alias(_MAP))
+    marked = docs.withColumn(_PLACE, place(key)).join(F.broadcast(maps), block == F.col(_BLOCK), "left")
+    byte = f"conv(hex(substring({_MAP}, int({_PLACE} % {_BLOCK_BITS} div 8) + 1, 1)), 16, 10)"
+    bit = F.expr(f"coalesce(shiftright(int({byte}), int({_PLACE} % 8)) & 1, 0)")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(bit == 0).select(columns), marked.where(bit == 1).select(columns)
+
+
+def within(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is one of ``ids``, which are read several times."""
+    (name,) = ids.columns
+    ids = ids.withColumnRenamed(name, _PLACE)
+    return split(docs, F.col(key), ids)[1].join(ids, F.col(key).cast("long") == F.col(_PLACE), "left_semi")
+
+
+def without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is none of ``ids``, which are read several times, or null."""
+    (name,) = ids.columns
+    ids = ids.withColumnRenamed(name, _PLACE)
+    out, rest = split(docs, F.col(key), ids)
+    return out.union(rest.join(ids, F.col(key).cast("long") == F.col(_PLACE), "left_anti"))
+
+
 #: Tasks over which the links of one node are dealt.
 HUB_SALTS = 8
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stash
+from .common import documents, split, stash
 
 ASSIGN = (
     r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -221,7 +221,9 @@ def redact(
     cuts = runs.groupBy(F.col("doc_id").alias("__secret_doc")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__secret_cuts")
     )
-    wide = keyed.join(cuts, keyed[at] == cuts["__secret_doc"], "left")
+    cuts = stash(cuts, "cuts")
+    untouched, rest = split(keyed, F.col(at), cuts.select("__secret_doc"))
+    wide = rest.join(cuts, F.col(at) == F.col("__secret_doc"), "left")
     # Between two cuts, and after the last one, the text stays.
     keep = F.expr("""
         transform(sequence(0, size(__secret_cuts)), i -> substring(text,
@@ -232,4 +234,5 @@ def redact(
     out = wide.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__secret_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return untouched.select(columns).union(out.select(columns))

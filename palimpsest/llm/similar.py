@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, documents, drop, release, stash
+from .common import arrow_rows, components, documents, drop, release, stash, within
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -322,13 +322,16 @@ def _crosslinks(texts: DataFrame, of: DataFrame, shingle_words: int, ratio: Frac
         del places, runs
         release(spark)  # what was shuffled is the largest of this step
     drop(prefixes)
-    pairs = pairs.distinct()
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    drawn = stash(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sketches(shingle_words), "doc_id long, n long, bits binary"), "sketches")
+    pairs = stash(pairs.distinct(), "pairs")
+    ids = stash(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    release(spark)
+    drawn = stash(within(texts, "doc_id", ids).mapInArrow(_sketches(shingle_words), "doc_id long, n long, bits binary"), "sketches")
     x, y = (drawn.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bits_a", "bits_b")
     with arrow_rows(spark, 1024):
         hopeful = stash(both.mapInArrow(_hopeful(ratio), "a long, b long"), "hopeful")
+    del pairs, ids, drawn, x, y, both
+    release(spark)
     return _verified(texts, hopeful, shingle_words, ratio, "cross")
 
 
@@ -358,6 +361,8 @@ def _banded(texts: DataFrame, shingle_words: int, ratio: Fraction, rounds: int)
         out = found if out is None else out.unionByName(found)
         apart = rest.join(out.select("a", F.col("b").alias("doc_id")), ["a", "doc_id"], "left_anti")
         rest = stash(apart.select("key", "doc_id", "n"), "apart")
+        del first, may, pairs, found, apart
+        release(texts.sparkSession)
         if rest.isEmpty():
             break
     drop(keys)
