@@ -62,7 +62,9 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     the last plans, Spark lets go within a second)."""
     spark = df.sparkSession
     path = new_dir(spark, what)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
+    # The driver keeps the text of the last thousand plans, and makes it anew at each adaptive step.
+    with settings_of(spark, {"spark.sql.maxPlanStringLength": "4096"}):
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     with contextlib.suppress(Py4JError):  # another reader of Parquet than Spark's first: the files stay
         index = out._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
