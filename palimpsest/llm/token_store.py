@@ -17,6 +17,7 @@ the sums are combined along the recipes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop, give_back, new_dir, release, settings_of, stash
+from .common import arrow_rows, documents, drop, give_back, new_dir, release, settings_of, stash
 
 END_ID = 2
 MIN_IDS, AVERAGE_IDS, MAX_IDS = 64, 256, 1024
@@ -47,6 +48,8 @@ _SLOT_IDS = 8
 _BLOCK_WORDS = 4096
 _PART_BYTES = 2 << 20
 _SEEN = 100_000
+#: Documents and chunks (of 32 bytes) in a range of recipes, if there are fewer ranges than partitions.
+_RANGE = 4096
 #: Ids whose rolling hash is taken at once.
 _MARK_IDS = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -282,6 +285,13 @@ def cuts(ids: np.ndarray) -> list[int]:
     return fold(marks(ids).tolist(), len(ids))
 
 
+#: Texts of some kB are read and sent in small batches, so that no array of a batch takes many MB of an executor's heap.
+_WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "spark.sql.maxConcurrentOutputFileWriters": "2",
+}
+
 #: Rows of new chunks (without a document) and of documents (without a chunk), which travel together.
 _STAGED = "digest binary, data binary, doc_id long, n_tokens long, recipe array<binary>"
 
@@ -340,7 +350,7 @@ def _stager(tokenizer_json, key: int, end_id: int, width: str):
                 for start, size, a, b in zip((ends - sizes).tolist(), sizes.tolist(), first, last, strict=True):
                     done = start
                     for end in fold((at[a:b] - start).tolist(), size):
-                        chunk = data[done * step : (start + end) * step]
+                        chunk = data[done * step : (start + end) * step].tobytes()  # pa.array never lets go of what a view views
                         digest = sha256(chunk).digest()
                         recipe.append(digest)
                         if digest not in seen:
@@ -392,6 +402,12 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns, kinds], [*_STAGED_NAMES, "part"]).filter(pa.array(keep))
 
 
+def _ranges(most: int, n_docs: int, n_ids: int) -> int:
+    """Into how many ranges, each a file, recipes are cut: one for each ``_RANGE`` documents and
+    chunks, up to the session's number of partitions."""
+    return max(1, min(most, -(-(n_docs + n_ids // AVERAGE_IDS) // _RANGE)))
+
+
 def _ranger(bounds):
     """Rows with the number of bounds at or below their doc_id."""
 
@@ -460,13 +476,14 @@ def write(
     # One shuffle brings equal chunks together; documents are dealt out with them.
     met = documents(docs).mapInArrow(stager, _STAGED).repartition(F.coalesce("digest", F.col("doc_id").cast("string").cast("binary")))
     met = met.sortWithinPartitions("digest").mapInArrow(_once, f"{_STAGED}, part string")
-    with settings_of(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.maxConcurrentOutputFileWriters": "2"}):
+    with settings_of(spark, _WRITING):
         met.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/parts")
     del met
     release(spark)  # its shuffle files are as large as the ids
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = spark.read.schema(_STAGED).parquet(_part(spark, path, "documents"))
+    all_docs, all_ids = ids.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    parts = _ranges(int(spark.conf.get("spark.sql.shuffle.partitions")), all_docs, all_ids)
     # Any bounds are right; these make even ranges.  A sketch of fixed size comes to the driver.
     bounds = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
     ranger = _ranger(spark.sparkContext.broadcast(np.unique(np.array(bounds, np.float64).astype(np.int64))))
@@ -503,6 +520,7 @@ def merkle(recipes: DataFrame) -> DataFrame:
         level, depth = up, depth + 1
 
 
+@functools.cache
 def _crc_tables() -> np.ndarray:
     """By number of ids n and byte of a CRC-32: what appending n zero ids makes of that byte."""
     one = np.zeros(32, np.uint32)  # the operator of one zero byte, by bit
@@ -592,7 +610,8 @@ def verify(spark: SparkSession, path: str) -> None:
 
 def read_sums(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files of the store."""
-    sums = stash(chunks(spark, path).mapInArrow(_summer(width), "digest binary, n int, crc long"), "sums")
+    with arrow_rows(spark, 1000):
+        sums = stash(chunks(spark, path).mapInArrow(_summer(width), "digest binary, n int, crc long"), "sums")
     recipes = spark.read.parquet(f"{path}/recipes")
     refs = recipes.select("doc_id", "start", "n_tokens", F.posexplode("recipe").alias("pos", "digest"))
     met = refs.join(sums, "digest", "left").select(

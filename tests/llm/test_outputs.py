@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from palimpsest.llm import chat, packing, token_store
-from palimpsest.llm.common import new_dir, stash
+from palimpsest.llm.common import new_dir, settings_of, stash
 from pyspark.sql import functions as F
 from test_duplicates import plain_components, plain_fingerprint
 from test_similar import plain_groups
@@ -150,6 +150,33 @@ def test_memory_of_a_long_text_without_repeated_words():
     assert float(done.stdout) < 200
 
 
+def test_stages_keep_no_ids():
+    """What a worker holds after some texts doesn't grow with the texts it has encoded."""
+    import tracemalloc
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        shipped = type("Shipped", (), {"value": (f.read(),)})
+    stage = token_store._stager(shipped, 2, 2, "<u2")
+    r = random.Random(12)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(2000)]
+    held, n_ids = [], 0
+
+    def batches():
+        for i in range(6):
+            texts = [" ".join(r.choices(words, k=2000)) for _ in range(100)]
+            yield pa.record_batch([pa.array(range(i * 100, i * 100 + 100)), pa.array(texts)], ["doc_id", "text"])
+            held.append(tracemalloc.get_traced_memory()[0])  # before the next texts
+
+    tracemalloc.start()
+    try:
+        for rows in stage(batches()):
+            n_ids += sum(rows.column("n_tokens").drop_null().to_pylist())
+    finally:
+        tracemalloc.stop()
+        token_store._forget()
+    assert n_ids > 1_200_000 and held[-1] - held[0] < n_ids  # of some 2 bytes each
+
+
 def test_cuts():
     r = np.random.default_rng(3)
     a, b = r.integers(0, 50_000, 4000).astype(np.uint32), r.integers(0, 50_000, 3000).astype(np.uint32)
@@ -176,6 +203,23 @@ def test_store_round_trip(spark, odd, untidy, nothing, docs_rows):
     assert token_store.report(nothing, public_tokenizers.path("word_bpe_49k.json")).collect() == []
 
 
+@pytest.mark.parametrize("size", [token_store._RANGE, 4])
+def test_ranges_follow_the_size(spark, odd, docs_rows, monkeypatch, size):
+    """A small table's recipes are in one file, however many partitions there are; any number of ranges is right."""
+    monkeypatch.setattr(token_store, "_RANGE", size)
+    ids = plain_ids([x[1] for x in docs_rows])
+    starts = np.cumsum([0] + [len(x) for x in ids]).tolist()
+    path = new_dir(spark, "test-store")
+    with settings_of(spark, {"spark.sql.shuffle.partitions": "7"}):
+        token_store.write(odd, path, public_tokenizers.path("word_bpe_49k.json"))
+    rows = spark.read.parquet(f"{path}/recipes")
+    assert len(rows.where("i >= 0").inputFiles()) == (1 if size > 4 else 7)
+    assert [tuple(x) for x in rows.select("i", "doc_id", "start", "n_tokens").orderBy("i").collect()] == [
+        (k, x[0], s, len(i)) for k, (x, s, i) in enumerate(zip(docs_rows, starts, ids))
+    ]
+    assert [token_store._ranges(200, n, t) for n, t in ((0, 0), (1, 1), (5 * size, 0), (0, 256 * 9 * size), (10**9, 0))] == [1, 1, 5, 9, 200]
+
+
 def test_store_finds_damage(spark, odd):
     path = new_dir(spark, "test-store")
     token_store.write(odd, path, public_tokenizers.path("word_bpe_49k.json"))
