@@ -101,12 +101,30 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def _trim(spark: SparkSession) -> None:
+    """Return freed native memory of the driver's JVM to the system, where it can.
+
+    Compilers of plans and generated code leave it in pools of the C library, one for each thread,
+    which keep it.  The command is that of ``jcmd``; py4j reaches it only by the public interface."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    name_of = jvm.java.lang.Class.forName
+    types = array(jvm.java.lang.Class, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        types[i] = name_of(name)
+    args = array(jvm.java.lang.Object, 4)  # the last two, parameters and their types, stay null
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JError):  # another JVM or C library
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        name_of("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, args)
+
+
 def release(spark: SparkSession) -> None:
     """Let the shuffle files and stashed tables of queries that nothing refers to any more be removed:
     Spark does so with shuffle files when the driver's collector finds them, which may be long after
-    they were read."""
+    they were read.  The driver's free memory goes back to the system."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _trim(spark)
     for path, index in list(_stashed.items()):
         try:
             held = index.get() is not None

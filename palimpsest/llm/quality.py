@@ -256,17 +256,19 @@ def mcd(rows: DataFrame) -> DataFrame:
     # The scatter of the nearest share is smaller than that of all, by a known factor.
     scale = ALPHA / chi2_cdf(chi2_quantile(ALPHA, _P), _P + 2)
     for _ in range(2):
+        release(rows.sparkSession)  # plans of a step are the most that the driver holds
         estimate = stash(_concentrate(rows, estimate, scale), "mcd")
     best = F.min_by(F.struct(*(c for c in estimate.columns if c not in ("lang", "source"))), F.struct("det", "start"))
     estimate = estimate.groupBy("lang", "source").agg(best.alias("best")).select("lang", "source", "best.*")
-    release(rows.sparkSession)
     # The fits that go on share their parents from here on, wherever they started.
     estimate = stash(estimate.withColumn("start", F.lit(0)), "mcd")
     for _ in range(MAX_STEPS - 2):
+        release(rows.sparkSession)
         before = estimate.select("lang", "source", F.col("det").alias("last"))
         estimate = stash(_concentrate(rows, estimate, scale), "mcd")
         if estimate.join(before, ["lang", "source"]).where(F.abs(F.col("det") - F.col("last")) > TOLERANCE).isEmpty():
             break
+    release(rows.sparkSession)
     return estimate
 
 

@@ -91,3 +91,31 @@ def test_stashed_tables_go_when_nothing_reads_them(spark):
     assert not soon(spark, lambda: not os.path.exists(path)) and derived.first()[0] == 49
     del derived
     assert soon(spark, lambda: not os.path.exists(path))
+
+
+def test_release_returns_native_memory_of_the_driver(spark):
+    jvm = spark.sparkContext._jvm
+    held = jvm.org.apache.spark.unsafe.Platform
+    blocks = [held.allocateMemory(8000) for _ in range(15_000)]  # 120 MB
+    for at in blocks:
+        held.setMemory(at, 1, 8000)
+
+    def resident():
+        """MB of the mappings that the blocks are in, which are not the collector's."""
+        total, inside = 0, False
+        with open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps") as f:
+            for line in f:
+                if "-" in (span := line.split()[0]):
+                    low, high = (int(x, 16) for x in span.split("-"))
+                    inside = any(low <= at < high for at in blocks[::100])
+                elif inside and span == "Rss:":
+                    total += int(line.split()[1]) // 1024
+        return total
+
+    for at in blocks[:-1]:  # the last one keeps the C library from shrinking its pool
+        held.freeMemory(at)
+    before = resident()
+    common.release(spark)
+    after = resident()
+    held.freeMemory(blocks[-1])
+    assert before > 100 and after < before - 60
